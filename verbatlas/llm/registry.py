@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.llm import media
+from verbatlas.llm import huffman, media, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_document_fingerprints": spotsigs.query,
+    "op7_toxicity": toxicity.query,
+    "op8_token_files": huffman.query,
     "op10_media_columns": media.query,
 }
 
