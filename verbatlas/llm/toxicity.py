@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,31 +20,33 @@ from pyspark.sql import functions as F
 from verbatlas.llm import common
 
 BITS = 20  # of a word's hash
+STEMS = (4, 5)
 FACTORS = 8
 THRESHOLD = 0.3
-MOST_POSITIVE, MOST_NEGATIVE = 8_000, 16_000  # labelled rows learnt from, those of the lowest hash of their id
+MOST_POSITIVE, MOST_NEGATIVE = 6_000, 10_000  # labelled rows learnt from, those of the lowest hash of their id
+DOUBT = 2.5  # standard errors below which a word's log odds start from 0; from twice as many on they start whole
+PULL = 0.25  # towards those log odds, and of the factors towards 0
 LEAST_ROWS = 4  # of the sample that hold a word, else it isn't learnt
 _PUNCTUATION = re.compile(r"[\W_]+")
 
 
 class Words(dict):
-    """From a raw word to its slot; -1 if nothing is left of it."""
+    """From a raw word to the slots of its terms: the word and its stems of STEMS letters; none if nothing is left of it."""
 
     MOST = 400_000  # then it starts anew; it only spares work
 
-    def __missing__(self, raw: str) -> int:
+    def __missing__(self, raw: str) -> tuple[int, ...]:
         if len(self) >= self.MOST:
             self.clear()
         word = _PUNCTUATION.sub("", raw.lower())
-        value = xxhash.xxh64_intdigest(word) >> (64 - BITS) if word else -1
+        terms = [word] * bool(word) + [f"{word[:n]}-" for n in STEMS if len(word) > n]
+        value = tuple(xxhash.xxh64_intdigest(t) >> (64 - BITS) for t in terms)
         self[raw] = value
         return value
 
 
 def slots(text: str, words: Words) -> np.ndarray:
-    raw = set(text.split())
-    found = np.unique(np.fromiter(map(words.__getitem__, raw), np.int64, len(raw)))
-    return found[found >= 0].astype(np.int32)
+    return np.unique(np.fromiter(chain.from_iterable(map(words.__getitem__, set(text.split()))), np.int32))
 
 
 class Model:
@@ -70,7 +73,21 @@ def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds: int = 12, seed: int = 7) -> Model:
+def _prior(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, learnt: np.ndarray) -> np.ndarray:
+    """Log odds of each learnt word, shrunk to 0 the less they stand out from chance."""
+    if not len(sets):
+        return np.zeros(learnt.size)
+    size = [s.size for s in sets]
+    words = np.concatenate(sets)
+    rows = [np.bincount(words, np.repeat(labels == t, size), 1 << BITS)[learnt] for t in (1, 0)]
+    n = [max(1, int((labels == t).sum())) for t in (1, 0)]
+    share = [(r + 0.5) / (m + 1) for r, m in zip(rows, n)]
+    odds = np.log(share[0] / (1 - share[0])) - np.log(share[1] / (1 - share[1]))
+    error = np.sqrt(1 / (rows[0] + 0.5) + 1 / (n[0] - rows[0] + 0.5) + 1 / (rows[1] + 0.5) + 1 / (n[1] - rows[1] + 0.5))
+    return odds * np.clip((np.abs(odds / error) - DOUBT) / DOUBT, 0, 1)
+
+
+def fit(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds: int = 10, seed: int = 7) -> Model:
     """Adagrad over minibatches; without rows, or with one label only, the bias alone tells the share."""
     share = float(np.clip((labels * weights).sum() / max(weights.sum(), 1e-9), 1e-3, 1 - 1e-3)) if len(sets) else 0.01
     bias = float(np.log(share / (1 - share)))
@@ -79,7 +96,8 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds:
     row = np.full(1 << BITS, -1, np.int32)
     row[learnt] = np.arange(learnt.size)
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(learnt.size), rng.normal(0, 0.01, (learnt.size, FACTORS))
+    w, v = _prior(sets, labels, weights, learnt), rng.normal(0, 0.01, (learnt.size, FACTORS))
+    prior = w.copy()
     model = Model(bias, row, w, v)
     if not len(sets) or labels.min() == labels.max():
         return model
@@ -96,9 +114,9 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds:
             sums = _sums(v[places], starts)
             used, at = np.unique(places, return_inverse=True)
             e = error[owner]
-            dw = np.bincount(at, e, used.size) + 2e-5 * w[used]
+            dw = np.bincount(at, e, used.size) + PULL * (w - prior)[used]
             each = e[:, None] * (sums[owner] - v[places])
-            dv = np.stack([np.bincount(at, each[:, f], used.size) for f in range(FACTORS)], 1) + 2e-4 * v[used]
+            dv = np.stack([np.bincount(at, each[:, f], used.size) for f in range(FACTORS)], 1) + PULL * v[used]
             gw[used] += (dw * part.size) ** 2
             gv[used] += (dv * part.size) ** 2
             gb += (error.sum() * part.size) ** 2
