@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.llm import huffman, media, spotsigs, toxicity
+from verbatlas.llm import huffman, line_dedup, media, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": line_dedup.query,
     "op5_document_fingerprints": spotsigs.query,
     "op7_toxicity": toxicity.query,
     "op8_token_files": huffman.query,
     "op10_media_columns": media.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.SQL,
+}
