@@ -12,6 +12,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,12 @@ class Words(dict):
         return value
 
 
+@lru_cache(maxsize=1)
+def shared_words() -> Words:
+    """A worker keeps the words it has met from task to task."""
+    return Words()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -155,7 +162,7 @@ def _rows(held: list[tuple], words: Words) -> pa.RecordBatch:
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by bucket in order, each bucket's successor last and borrowed."""
-    words, held, size = Words(), [], 0
+    words, held, size = shared_words(), [], 0
     for batch in common.slices(batches, "text"):
         for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "borrowed", "doc_id", "text"))):
             if held and held[-1][0] == row[0] and held[-1][1]:
@@ -181,7 +188,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
+    words = shared_words()
     for batch in common.slices(batches, "text"):
         texts = batch.column("text").to_pylist()
         sets = signature_sets(texts, [values(t.split(), words) for t in texts])
