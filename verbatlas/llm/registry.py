@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.llm import huffman, line_dedup, media, spotsigs, toxicity
+from verbatlas.llm import huffman, line_dedup, media, mixing, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": mixing.query,
     "op3_line_dedup": line_dedup.query,
     "op5_document_fingerprints": spotsigs.query,
     "op7_toxicity": toxicity.query,
@@ -17,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.SQL,
     "op3_line_dedup": line_dedup.SQL,
 }
