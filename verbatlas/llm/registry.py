@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.llm import huffman, line_dedup, media, mixing, spotsigs, toxicity
+from verbatlas.llm import huffman, line_dedup, media, mixing, pii, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.query,
+    "op2_pseudonyms": pii.query,
     "op3_line_dedup": line_dedup.query,
     "op5_document_fingerprints": spotsigs.query,
     "op7_toxicity": toxicity.query,
