@@ -13,6 +13,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +63,12 @@ class Pieces(dict):
         return value
 
 
+@lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> its ids as little-endian unsigned 32-bit integers, by the tokenizers library."""
+    """text -> its ids as little-endian unsigned 32-bit integers, by the tokenizers library.
+
+    A worker keeps it, and the words it has met, from task to task.
+    """
     from tokenizers import Tokenizer
 
     with open(path) as f:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.llm import huffman, line_dedup, media, mixing, pii, spotsigs, toxicity
+from verbatlas.llm import huffman, jaccard_join, line_dedup, media, mixing, pii, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_document_fingerprints": spotsigs.query,
     "op7_toxicity": toxicity.query,
     "op8_token_files": huffman.query,
+    "op9_jaccard_join": jaccard_join.query,
     "op10_media_columns": media.query,
 }
 
