@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,8 +24,7 @@ BITS = 20  # of a word's hash
 STEMS = (4, 5)
 FACTORS = 8
 THRESHOLD = 0.3
-MOST_POSITIVE, MOST_NEGATIVE = 6_000, 10_000  # labelled rows learnt from, those of the lowest hash of their id
-DOUBT = 2.5  # standard errors below which a word's log odds start from 0; from twice as many on they start whole
+MOST_POSITIVE, MOST_NEGATIVE = 4_000, 8_000  # labelled rows learnt from, those of the lowest hash of their id
 PULL = 0.25  # towards those log odds, and of the factors towards 0
 LEAST_ROWS = 4  # of the sample that hold a word, else it isn't learnt
 _PUNCTUATION = re.compile(r"[\W_]+")
@@ -45,6 +45,12 @@ class Words(dict):
         return value
 
 
+@lru_cache(maxsize=1)
+def shared_words() -> Words:
+    """A worker keeps the words it has met from task to task."""
+    return Words()
+
+
 def slots(text: str, words: Words) -> np.ndarray:
     return np.unique(np.fromiter(chain.from_iterable(map(words.__getitem__, set(text.split()))), np.int32))
 
@@ -57,9 +63,9 @@ class Model:
 
     def logits(self, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """places: learnt words of all texts in sequence; starts: where each text's begin, and the end."""
-        sums = _sums(self.v[places], starts)
-        squares = _sums(self.v[places] ** 2, starts)
-        return self.bias + _sums(self.w[places], starts) + 0.5 * (sums**2 - squares).sum(1)
+        vectors = self.v[places]
+        sums = _sums(vectors, starts)
+        return self.bias + _sums(self.w[places], starts) + 0.5 * ((sums**2).sum(1) - _sums((vectors**2).sum(1), starts))
 
     def score(self, sets: list[np.ndarray]) -> np.ndarray:
         kept = [self.row[s] for s in sets]
@@ -69,8 +75,12 @@ class Model:
 
 
 def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    total = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0, dtype=np.float64)])
-    return total[starts[1:]] - total[starts[:-1]]
+    """Of each run of rows; 0 for an empty run."""
+    out = np.zeros((starts.size - 1, *x.shape[1:]))
+    full = np.flatnonzero(starts[1:] > starts[:-1])
+    if full.size:
+        out[full] = np.add.reduceat(x, starts[full], axis=0)
+    return out
 
 
 def _prior(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, learnt: np.ndarray) -> np.ndarray:
@@ -83,11 +93,14 @@ def _prior(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, lear
     n = [max(1, int((labels == t).sum())) for t in (1, 0)]
     share = [(r + 0.5) / (m + 1) for r, m in zip(rows, n)]
     odds = np.log(share[0] / (1 - share[0])) - np.log(share[1] / (1 - share[1]))
-    error = np.sqrt(1 / (rows[0] + 0.5) + 1 / (n[0] - rows[0] + 0.5) + 1 / (rows[1] + 0.5) + 1 / (n[1] - rows[1] + 0.5))
-    return odds * np.clip((np.abs(odds / error) - DOUBT) / DOUBT, 0, 1)
+    every, all_rows = rows[0] + rows[1], n[0] + n[1]
+    cells = [(r, every * m / all_rows) for r, m in zip(rows, n)] + [(m - r, (all_rows - every) * m / all_rows) for r, m in zip(rows, n)]
+    ratio = 2 * sum(np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(x, 1e-9)), 0) for o, x in cells)  # log-likelihood ratio
+    doubt = np.sqrt(2 * np.log(max(2, learnt.size)))  # what the largest of so many words reaches by chance
+    return odds * np.clip((np.sqrt(np.maximum(ratio, 0)) - doubt) / doubt, 0, 1)
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds: int = 10, seed: int = 7) -> Model:
+def fit(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds: int = 6, seed: int = 7) -> Model:
     """Adagrad over minibatches; without rows, or with one label only, the bias alone tells the share."""
     share = float(np.clip((labels * weights).sum() / max(weights.sum(), 1e-9), 1e-3, 1 - 1e-3)) if len(sets) else 0.01
     bias = float(np.log(share / (1 - share)))
@@ -108,15 +121,21 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds:
         rate = 0.5 / (1 + 0.2 * step)
         for part in np.array_split(rng.permutation(len(kept)), max(1, len(kept) // 128)):
             places = np.concatenate([kept[i] for i in part])
-            starts = np.concatenate([[0], np.cumsum([kept[i].size for i in part])])
-            owner = np.repeat(np.arange(part.size), np.diff(starts))
-            error = (1 / (1 + np.exp(-np.clip(model.logits(places, starts), -30, 30))) - labels[part]) * weights[part] / part.size
-            sums = _sums(v[places], starts)
-            used, at = np.unique(places, return_inverse=True)
-            e = error[owner]
-            dw = np.bincount(at, e, used.size) + PULL * (w - prior)[used]
-            each = e[:, None] * (sums[owner] - v[places])
-            dv = np.stack([np.bincount(at, each[:, f], used.size) for f in range(FACTORS)], 1) + PULL * v[used]
+            size = np.array([kept[i].size for i in part])
+            starts = np.concatenate([[0], np.cumsum(size)])
+            owner = np.repeat(np.arange(part.size), size)
+            vectors = v[places]
+            sums = _sums(vectors, starts)
+            logit = model.bias + _sums(w[places], starts) + 0.5 * ((sums**2).sum(1) - _sums((vectors**2).sum(1), starts))
+            error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[part]) * weights[part] / part.size
+            order = np.argsort(places, kind="stable")
+            sorted_places, by = places[order], owner[order]
+            first = np.flatnonzero(np.diff(sorted_places, prepend=-1))
+            used = sorted_places[first]
+            e = np.add.reduceat(error[by], first) if first.size else np.empty(0)
+            pulled = np.add.reduceat((error[:, None] * sums)[by], first, axis=0) if first.size else np.empty((0, FACTORS))
+            dw = e + PULL * (w - prior)[used]
+            dv = pulled - e[:, None] * v[used] + PULL * v[used]
             gw[used] += (dw * part.size) ** 2
             gv[used] += (dv * part.size) ** 2
             gb += (error.sum() * part.size) ** 2
@@ -132,7 +151,7 @@ def fold(doc_id):
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
+    words = shared_words()
     for batch in common.slices(batches, "text"):
         sets = [slots(t, words).tobytes() for t in batch.column("text").to_pylist()]
         yield pa.record_batch([batch.column("toxic"), batch.column("order"), pa.array(sets, pa.binary())], ["toxic", "order", "slots"])
@@ -170,7 +189,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     sent = spark.sparkContext.broadcast((model.bias, model.row, model.w.astype(np.float32), model.v.astype(np.float32)))  # 1 << BITS slots at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own = Words(), Model(*sent.value)
+        words, own = shared_words(), Model(*sent.value)
         for batch in common.slices(batches, "text"):
             s = own.score([slots(t or "", words) for t in batch.column("text").to_pylist()])
             yield pa.record_batch([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], [*batch.schema.names, "score", "predicted"])
