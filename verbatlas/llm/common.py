@@ -23,15 +23,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def column(df: DataFrame, name: str, kind: str) -> Column:
-    """The column of that name cast to a type, or null where the table has none."""
-    found = [c for c in df.columns if c == name] or [c for c in df.columns if c.lower() == name]
-    return (F.col(f"`{found[0]}`") if found else F.lit(None)).cast(kind).alias(name)
+def picked(df: DataFrame, **kinds: str) -> DataFrame:
+    """Those columns alone, cast to the types given, null where the table has none.
+
+    They are found by place, so other columns of the same name in another case can't clash.
+    """
+    apart = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+    out: list[Column] = []
+    for name, kind in kinds.items():
+        at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name]
+        out.append((F.col(f"_{at[0]}") if at else F.lit(None)).cast(kind).alias(name))
+    return apart.select(*out)
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
-    """doc_id and text only, so that no other column can clash; a null text is empty."""
-    return docs.select(column(docs, "doc_id", "bigint"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
+    """doc_id and text only; a null text is empty."""
+    return picked(docs, doc_id="bigint", text="string").na.fill("", ["text"])
 
 
 def shared_dir(spark: SparkSession) -> str:

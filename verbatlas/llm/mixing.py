@@ -116,9 +116,9 @@ def cell_shares(rows: DataFrame, rate: float = RATE, flatten: dict[str, float] =
 
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens and draw of every row; a null text is empty, null values are a value."""
-    text = F.coalesce(common.column(docs, "text", "string"), F.lit(""))
-    i = common.column(docs, "doc_id", "bigint")
-    return docs.select(i, common.column(docs, "source", "string"), common.column(docs, "lang", "string"), topic(text).alias("topic"), n_tokens(text).cast("bigint").alias("n_tokens"), unit_hash(i, text).alias("draw"))
+    rows = common.picked(docs, doc_id="bigint", text="string", source="string", lang="string").na.fill("", ["text"])
+    text, i = F.col("text"), F.col("doc_id")
+    return rows.select(i, "source", "lang", topic(text).alias("topic"), n_tokens(text).cast("bigint").alias("n_tokens"), unit_hash(i, text).alias("draw"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
@@ -145,9 +145,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     shares = cell_shares(described(docs).select(*DIMENSIONS, "n_tokens"))
     at = shares.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "share")
-    keyed = docs.withColumn("_of_text", topic(text))
-    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("_of_text").eqNullSafe(F.col("_topic"))
-    return keyed.join(at, same).where(unit_hash(F.col("doc_id"), text) < F.col("share")).select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), F.col("source").alias("s"), F.col("lang").alias("l"), topic(text).alias("t"), unit_hash(F.col("doc_id"), text).alias("draw"))
+    same = F.col("s").eqNullSafe(F.col("_source")) & F.col("l").eqNullSafe(F.col("_lang")) & F.col("t").eqNullSafe(F.col("_topic"))
+    return keyed.join(at, same).where("draw < share").select("row.*")
 
 
 def _sql() -> str:

@@ -335,5 +335,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in vocabulary(v).encode(batch.column("text").to_pylist())]
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array([x.size for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "source", "lang", "n_tokens", "ids"])
 
-    rows = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    rows = common.picked(docs, doc_id="bigint", source="string", lang="string", text="string").na.fill("", ["text"])
     return rows.mapInArrow(run, "doc_id bigint, source string, lang string, n_tokens bigint, ids array<int>")

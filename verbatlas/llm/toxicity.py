@@ -165,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Model:
     """
     spark = docs.sparkSession
     common.ship(spark)
-    marks = labels.select(common.column(labels, "doc_id", "bigint"), common.column(labels, "toxic", "int")).where("doc_id is not null and toxic in (0, 1)")
+    marks = common.picked(labels, doc_id="bigint", toxic="int").where("doc_id is not null and toxic in (0, 1)")
     marks = marks.where(fold(F.col("doc_id")) != 2) if held_out else marks
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
@@ -180,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted behind its own columns (those names are replaced if docs has them).
+    """docs, which has a text, with score and predicted behind its own columns (in place of any it has).
 
     Null and empty texts score by the bias alone. Every row stays, repeated ones too.
     """
@@ -195,12 +195,8 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             yield pa.record_batch([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], [*batch.schema.names, "score", "predicted"])
 
     docs = docs.drop("score", "predicted")
-    names = [c for c in docs.columns]
-    if "text" not in names:
-        docs = docs.withColumn("text", F.lit(None).cast("string"))
-    schema = docs.schema.simpleString()[len("struct<") : -1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int").select(*names, "score", "predicted")
+    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -213,4 +209,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model doesn't call toxic, with the columns of docs."""
     model = learn(docs, common.read(spark, sf_dir, "labels"), held_out=False)
-    return scored(docs, model).where("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
+    return scored(rows, model).where("predicted = 0").select("row.*")
