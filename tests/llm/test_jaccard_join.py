@@ -1,0 +1,76 @@
+import random
+import re
+from collections import defaultdict
+
+from verbatlas.llm import jaccard_join as j
+
+
+def brute(rows):
+    """(class, links, copies) of each (doc_id, text)."""
+    words = lambda t: tuple(w for w in (re.sub(r"[\W_]+", "", x.lower()) for x in (t or "").split()) if w)
+    nodes = defaultdict(list)
+    for i, t in rows:
+        if i is not None and words(t):
+            nodes[words(t)].append(i)
+    keys = list(nodes)
+    sets = [{k[p : p + min(5, len(k))] for p in range(len(k) - min(5, len(k)) + 1)} for k in keys]
+    root, links = list(range(len(keys))), [0] * len(keys)
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(keys)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                links[a] += 1
+                links[b] += 1
+                root[top(a)] = top(b)
+    first = defaultdict(list)
+    for a, k in enumerate(keys):
+        first[top(a)] += nodes[k]
+    at = {k: (min(first[top(a)]), links[a], len(nodes[k])) for a, k in enumerate(keys)}
+    return sorted((-1 if i is None else i, *(at[words(t)] if i is not None and words(t) else (-1 if i is None else i, 0, 1))) for i, t in rows)
+
+
+def found(df, **how):
+    return sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.class_id is None else r.class_id, r.n_links, r.n_copies) for r in j.jaccard_links(df, **how).collect())
+
+
+def texts(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(400)]
+    out = []
+    for _ in range(12):
+        base = rng.choices(vocabulary, k=rng.randint(4, 150))
+        out.append(" ".join(base))
+        for _ in range(rng.randint(0, 12)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            out.append(" ".join(copy))
+    return out
+
+
+def test_against_every_pair(spark):
+    rows = list(enumerate(texts(8)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows)
+    assert any(r[2] > 2 for r in want)
+    assert found(df) == want
+    assert found(df, block=300) == want  # components cut into many blocks
+
+
+def test_depth():
+    assert j.promised(j.prefix_depth()) >= j.RECALL > j.promised(j.prefix_depth() + 1)
+    assert j.prefix_depth(recall=1.0) == 1
+
+
+def test_odd_rows(spark, odd, repeated, none, odd_texts):
+    assert found(odd) == brute(list(enumerate(odd_texts)))
+    assert found(repeated) == brute([(r.doc_id, r.text) for r in repeated.select("doc_id", "text").collect()])
+    assert found(none) == []
+    kept = j.stage(spark, odd, "")
+    assert kept.columns == odd.columns
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in brute(list(enumerate(odd_texts))) if r[0] == r[1]}
