@@ -25,7 +25,8 @@ STEMS = (4, 5)
 FACTORS = 8
 THRESHOLD = 0.3
 MOST_POSITIVE, MOST_NEGATIVE = 4_000, 8_000  # labelled rows learnt from, those of the lowest hash of their id
-PULL = 0.25  # towards those log odds, and of the factors towards 0
+PULL = 0.25  # of weights towards their prior
+FREE = 0.01  # the same, and of factors towards 0, for words that stand out by themselves; only those have factors
 LEAST_ROWS = 4  # of the sample that hold a word, else it isn't learnt
 _PUNCTUATION = re.compile(r"[\W_]+")
 
@@ -83,10 +84,10 @@ def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prior(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, learnt: np.ndarray) -> np.ndarray:
-    """Log odds of each learnt word, shrunk to 0 the less they stand out from chance."""
+def _prior(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of each learnt word, shrunk to 0 the less they stand out from chance; does it stand out at all?"""
     if not len(sets):
-        return np.zeros(learnt.size)
+        return np.zeros(learnt.size), np.zeros(learnt.size, bool)
     size = [s.size for s in sets]
     words = np.concatenate(sets)
     rows = [np.bincount(words, np.repeat(labels == t, size), 1 << BITS)[learnt] for t in (1, 0)]
@@ -97,7 +98,8 @@ def _prior(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, lear
     cells = [(r, every * m / all_rows) for r, m in zip(rows, n)] + [(m - r, (all_rows - every) * m / all_rows) for r, m in zip(rows, n)]
     ratio = 2 * sum(np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(x, 1e-9)), 0) for o, x in cells)  # log-likelihood ratio
     doubt = np.sqrt(2 * np.log(max(2, learnt.size)))  # what the largest of so many words reaches by chance
-    return odds * np.clip((np.sqrt(np.maximum(ratio, 0)) - doubt) / doubt, 0, 1)
+    away = np.sqrt(np.maximum(ratio, 0)) / doubt
+    return odds * np.clip(away - 1, 0, 1), away > 1
 
 
 def fit(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds: int = 6, seed: int = 7) -> Model:
@@ -109,8 +111,9 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds:
     row = np.full(1 << BITS, -1, np.int32)
     row[learnt] = np.arange(learnt.size)
     rng = np.random.default_rng(seed)
-    w, v = _prior(sets, labels, weights, learnt), rng.normal(0, 0.01, (learnt.size, FACTORS))
-    prior = w.copy()
+    w, out = _prior(sets, labels, weights, learnt)
+    v = rng.normal(0, 0.05, (learnt.size, FACTORS)) * out[:, None]
+    prior, pull = w.copy(), np.where(out, FREE, PULL)
     model = Model(bias, row, w, v)
     if not len(sets) or labels.min() == labels.max():
         return model
@@ -134,8 +137,8 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds:
             used = sorted_places[first]
             e = np.add.reduceat(error[by], first) if first.size else np.empty(0)
             pulled = np.add.reduceat((error[:, None] * sums)[by], first, axis=0) if first.size else np.empty((0, FACTORS))
-            dw = e + PULL * (w - prior)[used]
-            dv = pulled - e[:, None] * v[used] + PULL * v[used]
+            dw = e + (pull * (w - prior))[used]
+            dv = (pulled - e[:, None] * v[used] + FREE * v[used]) * out[used, None]
             gw[used] += (dw * part.size) ** 2
             gv[used] += (dv * part.size) ** 2
             gb += (error.sum() * part.size) ** 2
