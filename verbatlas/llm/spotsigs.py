@@ -24,6 +24,7 @@ from verbatlas.llm import common
 from verbatlas.llm.neighbours import with_next
 
 CHAIN = 3
+SPARSE = 20  # content words for one anchored chain, beyond which anchors are too rare to tell texts apart
 # Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
     """
@@ -71,7 +72,7 @@ def values(raw: list[str], words: Words) -> np.ndarray:
 def signature_sets(texts: list[str], parsed: list[np.ndarray], chain: int = CHAIN) -> list[np.ndarray]:
     """The sorted distinct 32-bit signatures of each text; parsed: the values of its words.
 
-    Without an anchor that content words follow every content word starts a chain; without a content word
+    With less than one chain in SPARSE content words every content word starts a chain; without a content word
     the text itself is the one signature. Chains at the end of a text are shorter. The empty text has none.
     """
     n = len(texts)
@@ -84,7 +85,8 @@ def signature_sets(texts: list[str], parsed: list[np.ndarray], chain: int = CHAI
     following = np.cumsum(~anchor)[anchor]  # content words before an anchor: the place of the one behind it
     inside = following < ends[owner[anchor]]
     first, start, doc = following[inside], value[anchor][inside], owner[anchor][inside]
-    bare = np.bincount(doc, minlength=n) == 0
+    bare = np.bincount(doc, minlength=n) * SPARSE < np.bincount(owner[~anchor], minlength=n)
+    start, first, doc = (x[~bare[doc]] for x in (start, first, doc))
     rest = np.flatnonzero(bare[owner[~anchor]])
     first, doc = np.concatenate([first, rest]), np.concatenate([doc, owner[~anchor][rest]])
     h = _mix(np.concatenate([start, np.zeros(rest.size, np.uint64)]) + np.uint64(1))
