@@ -23,7 +23,7 @@ from verbatlas.llm import common
 from verbatlas.llm.suffix_array import suffix_array
 
 LENGTH = 400
-GRAM = 16
+GRAM = 128
 PIECE = 1 << 22  # windows looked at together
 SHARD = 1_000_000  # bytes aimed at in a shard
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -199,6 +199,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Dat
     keyed = rows.withColumn("row_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64("text"))))
     found = common.stored(keyed.select("row_key", "text").mapInArrow(_segment_rows(length), "row_key string, key bigint, start bigint, size bigint, d1 bigint, d2 bigint"), "segments")
     shared = found.groupBy("key").agg(F.count("*").alias("n"), F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("n > 1").select("key", (F.col("lo") != F.col("hi")).alias("several"))
+    shared = common.stored(shared, "shared-keys")  # joined from a table, a hot key's rows can be split
     met = common.stored(found.join(shared, "key"), "met")
     distinct = met.groupBy("key", "d1", "d2").agg(F.count("*").alias("copies"), F.min(F.struct("row_key", "start", "size")).alias("at"), F.first("several").alias("several"))
     distinct = common.stored(distinct, "distinct-segments")
