@@ -37,56 +37,75 @@ _PLAIN = re.compile(r"[^\t\n\r -~¡-Ĭı-ɏ]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-class Pieces(dict):
-    """From a lower-case word to its ids as bytes."""
+class Encoder:
+    """Texts to ids as little-endian unsigned 32-bit integers, by the tokenizers library.
 
-    MOST = 600_000  # then it starts anew; it only spares work
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-        self.parts: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    Where the vocabulary allows it (by_word), plain texts are looked up word by word; words met for the first
+    time are encoded together, many to a call, and told apart by the ids that end a word.
+    """
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.MOST:
-            self.clear()
-        m = _WORD.match(word)
-        if m and m.end() < len(word) and "'" not in word and "<" not in word:  # the letters in front are a token group of their own
-            head, tail = word[: m.end()], word[m.end() :]
-            value = self[head] + self[tail]
-        else:
-            value = self.ids(word)
-        self[word] = value
-        return value
+    MOST = 1_200_000  # words kept; then it starts anew, it only spares work
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """text -> its ids as little-endian unsigned 32-bit integers, by the tokenizers library.
+        with open(path) as f:
+            made = json.load(f)
+        self.tokenizer = Tokenizer.from_file(path)
+        normal, cut = json.dumps(made.get("normalizer") or {}), json.dumps(made.get("pre_tokenizer") or {})
+        suffix = made["model"].get("end_of_word_suffix")
+        self.by_word = made["model"].get("type") == "BPE" and bool(suffix) and all(x in normal for x in ('"Lowercase"', '"NFC"', "\\\\s+")) and "\\\\s" in cut
+        self.special = [t["content"] for t in made.get("added_tokens", [])]
+        if self.by_word:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
 
-    A worker keeps it, and the words it has met, from task to task.
-    """
-    from tokenizers import Tokenizer
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    with open(path) as f:
-        made = json.load(f)
-    tokenizer = Tokenizer.from_file(path)
-    normal = json.dumps(made.get("normalizer") or {}, sort_keys=True)
-    by_word = made["model"].get("type") == "BPE" and '"Lowercase"' in normal and '"NFC"' in normal and "\\\\s+" in normal and "\\\\s" in json.dumps(made.get("pre_tokenizer") or {})
-    if not by_word:
-        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    pieces = Pieces(tokenizer)
-    special = [t["content"] for t in made.get("added_tokens", [])]
+    def _learn(self, words: set[str]) -> None:
+        letters, split = set(), []
+        for w in words:
+            m = _WORD.match(w)
+            head = m[0] if m and "'" not in w and "<" not in w else ""  # the letters in front are a group of their own
+            if head.isalpha():
+                if head not in self.known:
+                    letters.add(head)
+                if len(head) < len(w):
+                    split.append((w, head, w[len(head) :]))
+            else:
+                self.known[w] = self.whole(w)
+        ordered = list(letters)
+        for at in range(0, len(ordered), 4000):
+            part = ordered[at : at + 4000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if last.size == len(part):
+                data, cuts = ids.tobytes(), [0, *(last * 4).tolist()]
+                self.known.update((w, data[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
+            else:
+                self.known.update((w, self.whole(w)) for w in part)
+        tails = {t: self.whole(t) for t in {t for _, _, t in split}}
+        self.known.update((w, self.known[h] + tails[t]) for w, h, t in split)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        rows = [t.lower().split() if self.by_word and not _PLAIN.search(t) and not any(s in t for s in self.special) else None for t in texts]
+        words = set().union(*(r for r in rows if r))
+        new = words - self.known.keys()
+        if new:
+            if len(self.known) + len(new) > self.MOST:  # what is at hand must be known together
+                self.known.clear()
+                new = words
+            self._learn(new)
+        known = self.known
+        return [self.whole(t) if r is None else b"".join([known[w] for w in r]) for t, r in zip(texts, rows)]
 
-    def encode(text: str) -> bytes:
-        if _PLAIN.search(text) or any(s in text for s in special):
-            return pieces.ids(text)
-        return b"".join(map(pieces.__getitem__, text.lower().split()))
 
-    return encode
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """A worker keeps it, and the words it has met, from task to task."""
+    return Encoder(path)
 
 
 def _tokenize(path: str, end: int):
@@ -94,8 +113,8 @@ def _tokenize(path: str, end: int):
         encode, last = encoder(path), np.array([end], "<u4").tobytes()
         for batch in common.slices(batches, "text"):
             ids = []
-            for text in batch.column("text").to_pylist():
-                a = np.frombuffer(encode(text) + last, "<u4")
+            for data in encode(batch.column("text").to_pylist()):
+                a = np.frombuffer(data + last, "<u4")
                 ids.append(a.astype("<u2").tobytes() if a.max() < 65536 else b"\0" + a.tobytes())
             yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
