@@ -14,6 +14,19 @@ def test_signatures():
     assert s.jaccard(a, a) == 1 and s.jaccard(a[:0], a[:0]) == 1 and s.jaccard(a, a[:1], 0.9) == 0
 
 
+def test_rare_anchors_share_signatures():
+    words, names = s.Words(), [f"w{k}x" for k in range(400)]
+    rare = " ".join(names[:300])  # no anchor at all
+    dense = " ".join(f"the {w}" for w in names[300:])
+    for a, b in ((rare, rare + " " + dense), (dense, dense + " " + rare), (rare, s.edited(rare, dense * 9)), (dense, s.edited(dense, rare))):
+        x, y = set(s.signatures(a, words)), set(s.signatures(b, words))
+        assert len(x & y) >= 0.6 * len(x) and s.jaccard(s.signatures(a, words), s.signatures(b, words)) > 0.2
+    anchored = " ".join(f"the {' '.join(names[k : k + 30])}" for k in range(0, 300, 30))  # one anchor in 30 words
+    assert len(set(s.signatures(anchored, words)) - set(s.signatures(anchored.replace("the ", ""), words))) >= 10
+    parsed = [s.values(t.split(), words) for t in (dense, "", rare, "the", anchored)]
+    assert all((x == s.signature_sets([t], [p])[0]).all() for t, p, x in zip((dense, "", rare, "the", anchored), parsed, s.signature_sets([dense, "", rare, "the", anchored], parsed)))
+
+
 def test_words_of_edited_texts():
     words = s.Words()
     for a in ("", "a", "a b", " a", "abc def ", "  ", " a b c d e f ", "foo bar baz"):

@@ -1,7 +1,7 @@
 """Document fingerprints by SpotSigs: chains of content words that follow common-word anchors.
 
-A signature is the hash of an anchor and the next CHAIN content words behind it; a fingerprint is the set of
-a text's signatures. Sets are compared by Jaccard; where a threshold is given, sizes alone rule pairs out
+A signature is the hash of an anchor and the next CHAIN content words behind it; content words far behind any
+anchor start chains of their own. A fingerprint is the set of a text's signatures. Sets are compared by Jaccard; where a threshold is given, sizes alone rule pairs out
 first. spotsigs_links() joins near-equal documents: sets are dealt out by their length and their rarest
 signatures, so only sets of like lengths meet.
 """
@@ -24,7 +24,7 @@ from verbatlas.llm import common
 from verbatlas.llm.neighbours import with_next
 
 CHAIN = 3
-SPARSE = 20  # content words for one anchored chain, beyond which anchors are too rare to tell texts apart
+SPARSE = 20  # content words behind an anchor, beyond which each starts a chain itself
 # Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
     """
@@ -72,23 +72,27 @@ def values(raw: list[str], words: Words) -> np.ndarray:
 def signature_sets(texts: list[str], parsed: list[np.ndarray], chain: int = CHAIN) -> list[np.ndarray]:
     """The sorted distinct 32-bit signatures of each text; parsed: the values of its words.
 
-    With less than one chain in SPARSE content words every content word starts a chain; without a content word
-    the text itself is the one signature. Chains at the end of a text are shorter. The empty text has none.
+    Every anchor starts a chain, and so does every content word with no anchor among the SPARSE content words
+    before it or in the text so far. What starts a chain is settled by the words before it alone, so equal
+    passages of two texts share their signatures whatever the rest holds. Without a content word the text
+    itself is the one signature. Chains at the end of a text are shorter. The empty text has none.
     """
     n = len(texts)
     value = np.concatenate(parsed) if parsed else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(n), [p.size for p in parsed])
     owner, value = owner[value != 0], value[value != 0]
     anchor = (value & np.uint64(1)).astype(bool)
-    content = value[~anchor]
-    ends = np.cumsum(np.bincount(owner[~anchor], minlength=n))
+    content, of = value[~anchor], owner[~anchor]
+    ends = np.cumsum(np.bincount(of, minlength=n))
     following = np.cumsum(~anchor)[anchor]  # content words before an anchor: the place of the one behind it
     inside = following < ends[owner[anchor]]
     first, start, doc = following[inside], value[anchor][inside], owner[anchor][inside]
-    bare = np.bincount(doc, minlength=n) * SPARSE < np.bincount(owner[~anchor], minlength=n)
-    start, first, doc = (x[~bare[doc]] for x in (start, first, doc))
-    rest = np.flatnonzero(bare[owner[~anchor]])
-    first, doc = np.concatenate([first, rest]), np.concatenate([doc, owner[~anchor][rest]])
+    place, begins = np.arange(content.size), np.concatenate([[0], ends[:-1]])[of] if n else ends
+    behind = np.full(content.size, -1)
+    behind[first] = first
+    behind = np.maximum.accumulate(behind)  # the place behind the last anchor, less than begins if there is none
+    rest = np.flatnonzero((behind < begins) | (place - behind >= SPARSE))
+    first, doc = np.concatenate([first, rest]), np.concatenate([doc, of[rest]])
     h = _mix(np.concatenate([start, np.zeros(rest.size, np.uint64)]) + np.uint64(1))
     padded, end = np.concatenate([content, np.zeros(chain, np.uint64)]), ends[doc]
     for k in range(chain):
