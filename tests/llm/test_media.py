@@ -61,3 +61,21 @@ def test_contract_rows(spark, odd, repeated, none, odd_texts):
         assert (r.media_bytes, r.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
     assert out[6].feature == out[7].feature and out[0].feature == out[1].feature
     assert m.media_features(m.store_texts(repeated)).count() == 6 and m.media_features(m.store_texts(none)).count() == 0
+
+
+def test_report_holds_stored_tiles(spark, odd, repeated, none, odd_texts, tmp_path):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in m.query(spark, str(tmp_path)).collect()}
+    assert len(out) == len(odd_texts)
+    for k, t in enumerate(odd_texts):
+        data = (t or "").encode()
+        image = m.text_image(data + b" " * (-len(data) % 192 if data else 192))
+        tiles = [b"%d,%d,%s," % (y, x, m.difference_hash(image[y * 32 : y * 32 + 32]).encode()) + npy for y, x, npy in m.npy_tiles(image)]
+        total = 0
+        for tile in tiles:
+            total ^= int(hashlib.sha256(tile).hexdigest(), 16)
+        assert out[k].n_tiles == len(tiles) and out[k].n_bytes == len(data)
+        assert out[k].tiles_digest == f"{total:064x}"
+    stored = sorted(str(r) for r in m.media_features(m.store_texts(repeated)).collect())
+    assert sorted(str(r) for r in m.media_report(repeated).drop("n_tiles", "tiles_digest").collect()) == stored
+    assert m.media_report(repeated).where("n_tiles is null").count() == 0 and m.media_report(none).count() == 0

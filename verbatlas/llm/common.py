@@ -52,11 +52,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder: it cuts lineage, and a lost executor costs no rework of it."""
+def stored(df: DataFrame, name: str, codec: str = "zstd", level: int = 3) -> DataFrame:
+    """df as a table in the shared folder: it cuts lineage, and a lost executor costs no rework of it.
+
+    level is that of zstd.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verbatlas/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.compression.codec.zstd.level", level).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

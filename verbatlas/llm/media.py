@@ -2,7 +2,8 @@
 
 decode() reads P1 to P6 and uncompressed BMP of 8, 24 or 32 bits; encode_netpbm() and encode_bmp() write
 them without loss. area_resize() takes box averages from an integral image, exact at fractional edges.
-npy_tiles() gives NPY bytes of fixed tiles, difference_hash() 128 bits of brightness steps.
+npy_tiles() gives NPY bytes of fixed tiles, difference_hash() 128 bits of brightness steps. The query stores every
+text as an image and every image's tiles with their hashes, and reports on both from what it reads back.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from verbatlas.llm import common
 UNIT = 192  # bytes of one 8 x 8 RGB square
 TILE = 32
 DEEPEST = 255
+LEVEL = 9  # of zstd; images and tiles hold the texts twice over
 
 
 def encode_netpbm(image: np.ndarray) -> bytes:
@@ -162,18 +164,20 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             sizes.append(len(text))
             media.append(encode_netpbm(text_image(text + b" " * (-len(text) % UNIT if text else UNIT))))
-        yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+        yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), batch.column("image")], ["doc_id", "n_bytes", "media", "image"])
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): every whole text as a P6 image in a table of the shared folder.
+    """(doc_id, n_bytes, media, image): every whole text as a P6 image in a table of the shared folder.
 
+    image numbers the rows of the stored table, as doc_ids may be repeated or null.
     Null texts are empty; an empty text is one square of spaces. Rows are kept as they are, repeated and
     null ids too; an empty table gives an empty table; other columns are ignored.
     """
     common.ship(docs.sparkSession)
-    media = common.id_and_text(docs).mapInArrow(_store, "doc_id bigint, n_bytes bigint, media binary")
-    return common.stored(media, "media")
+    numbered = common.id_and_text(docs).withColumn("image", F.monotonically_increasing_id())
+    media = numbered.mapInArrow(_store, "doc_id bigint, n_bytes bigint, media binary, image bigint")
+    return common.stored(media, "media", level=LEVEL)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,37 +190,62 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), zlib.crc32(tile)))
         cols = list(zip(*out))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), *map(pa.array, cols, kinds)], NAMES)
+        yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), *map(pa.array, cols, kinds), batch.column("image")], [*NAMES, "image"])
 
 
 NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "thumbnail_crc32"]
 
 
+def _numbered_features(media: DataFrame) -> DataFrame:
+    common.ship(media.sparkSession)
+    return media.select("doc_id", "n_bytes", "media", "image").mapInArrow(_features, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, thumbnail_crc32 bigint, image bigint")
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """One row for each stored image, from its bytes alone: digests, difference hash, crc32 of its NPY thumbnail."""
-    common.ship(media.sparkSession)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, thumbnail_crc32 bigint")
+    return _numbered_features(media).drop("image")
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches, "media"):
-        ids, rows, cols, tiles, hashes = [], [], [], [], []
-        for i, media in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist()):
+        ids, rows, cols, tiles, hashes, numbers = [], [], [], [], [], []
+        for i, media, number in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "media", "image"))):
             image = decode(media)
             for y, x, data in npy_tiles(image):
                 ids.append(i)
+                numbers.append(number)
                 rows.append(y)
                 cols.append(x)
                 tiles.append(data)
                 hashes.append(difference_hash(image[y * TILE : (y + 1) * TILE, x * TILE : (x + 1) * TILE]))
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(rows, pa.int32()), pa.array(cols, pa.int32()), pa.array(hashes, pa.string()), pa.array(tiles, pa.binary())], ["doc_id", "tile_row", "tile_column", "hash", "npy"])
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(rows, pa.int32()), pa.array(cols, pa.int32()), pa.array(hashes, pa.string()), pa.array(tiles, pa.binary()), pa.array(numbers, pa.int64())], ["doc_id", "tile_row", "tile_column", "hash", "npy", "image"])
 
 
 def media_tiles(media: DataFrame) -> DataFrame:
-    """(doc_id, tile_row, tile_column, hash, npy): every image cut into NPY tiles with their difference hashes."""
+    """(doc_id, tile_row, tile_column, hash, npy, image): every image cut into NPY tiles with their difference hashes."""
     common.ship(media.sparkSession)
-    return media.select("doc_id", "media").mapInArrow(_tiles, "doc_id bigint, tile_row int, tile_column int, hash string, npy binary")
+    return media.select("doc_id", "media", "image").mapInArrow(_tiles, "doc_id bigint, tile_row int, tile_column int, hash string, npy binary, image bigint")
+
+
+def tile_digests(tiles: DataFrame) -> DataFrame:
+    """(image, n_tiles, tiles_digest): the exclusive or of the SHA-256 of each tile, 64 hex digits.
+
+    A tile's SHA-256 is over "row,column,hash," and its NPY bytes. Its place is part of it, so tiles that are
+    equal don't cancel out and tiles in other places show; and machines sum up before they exchange.
+    """
+    place = F.concat_ws(",", "tile_row", "tile_column", "hash", F.lit(""))
+    shas = tiles.select("image", F.sha2(F.concat(place.cast("binary"), "npy"), 256).alias("sha"))
+    words = [F.bit_xor(F.conv(F.substring("sha", 8 * k + 1, 8), 16, 10).cast("bigint")).alias(f"w{k}") for k in range(8)]
+    found = shas.groupBy("image").agg(F.count("*").alias("n_tiles"), *words)
+    return found.select("image", "n_tiles", F.lower(F.concat(*(F.lpad(F.hex(f"w{k}"), 8, "0") for k in range(8)))).alias("tiles_digest"))
+
+
+def media_report(docs: DataFrame) -> DataFrame:
+    """media_features() of every row's stored image, with n_tiles and tiles_digest of its stored tiles."""
+    media = store_texts(docs)
+    tiles = common.stored(media_tiles(media), "tiles", level=LEVEL)
+    return _numbered_features(media).join(tile_digests(tiles), "image", "left").drop("image")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return media_features(store_texts(common.read(spark, sf_dir, "documents")))
+    return media_report(common.read(spark, sf_dir, "documents"))
