@@ -34,6 +34,31 @@ def test_cards(spark):
     assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) and re.fullmatch(r"pay \d{4} \d{4} \d{4} \d{4} now", a) and b.count("-") == 3
 
 
+def test_cards_beside_numbers(spark):
+    card = "".join(map(str, feistel([4] + [1] * 14, [10] * 15, "card")))
+    card += next(c for c in "0123456789" if luhn_ok([int(x) for x in card + c]))
+    four = " ".join(card[k : k + 4] for k in range(0, 16, 4))
+    for before, after in (("", " 12/27"), ("", "-2"), ("12 ", ""), ("1234 ", ""), ("1 ", " 12 27")):
+        assert changed(spark, f"pay {before}4111 1111 1111 1111{after}")[0] == f"pay {before}{four}{after}", (before, after)
+    assert changed(spark, "4111111111111111 123") == [card + " 123"] and changed(spark, "4111-1111-1111-1111 2") == [four.replace(" ", "-") + " 2"]
+    assert changed(spark, "4111 1111 1111 1111 4111111111111111 9") == [f"{four} {card} 9"]
+    day, phone, slash = changed(spark, "2021-03-09", "743-555-3824", "09/03/2021")
+    assert changed(spark, "5 4111 1111 1111 1111 2021-03-09", "4111 1111 1111 1111 743-555-3824", "4111 1111 1111 1111 09/03/2021") == [f"5 {four} {day}", f"{four} {phone}", f"{four} {slash}"]
+    assert changed(spark, "\ufdd4\ufdef 4111111111111111 \ufdd1\ufdda\ufddb1\ufddc" + "\ufdd4" * 16 + "\ufdda") == [f"\ufdd4\ufdef {card} \ufdd1\ufdda\ufddb1\ufddc" + "\ufdd4" * 16 + "\ufdda"]
+    row = pii.pseudonymize(spark.createDataFrame([(1, "4111 1111 1111 1111 12, 1234 5678 9012 3456 7")], "doc_id bigint, text string")).first()
+    assert (row.n_found, row.n_replaced) == (2, 1)
+    assert changed(spark, "7" * 50_000 + " 4111111111111111")[0] == "7" * 50_000 + " " + card
+
+
+def test_ibans_in_groups(spark):
+    for land, tail in (("DE89370400440532013000", ""), ("GB82WEST12345698765432", ""), ("AT611904300234573201", " EUR"), ("AT611904300234573201", " 4111 1111 1111 1111")):
+        whole, = changed(spark, land)
+        groups = lambda x: " ".join(x[k : k + 4] for k in range(0, len(x), 4))
+        rest = changed(spark, tail)[0]
+        assert whole != land and changed(spark, f"to {groups(land)}{tail}.", f"AB12 {groups(land)}{tail}") == [f"to {groups(whole)}{rest}.", f"AB12 {groups(whole)}{rest}"]
+    assert changed(spark, "DE88 3704 0044 0532 0130 00") == ["DE88 3704 0044 0532 0130 00"]
+
+
 def test_dates(spark):
     iso, slash, us, dots, no = changed(spark, "on 2021-03-09.", "09/03/2021", "03/29/2021", "09.03.2021", "2021-02-30 99/99/2020")
     day = datetime.date(1900, 1, 1) + datetime.timedelta((lambda n: n[0] * 487 + n[1])(feistel(divmod((datetime.date(2021, 3, 9) - datetime.date(1900, 1, 1)).days, 487), pii.DAYS, "date")))

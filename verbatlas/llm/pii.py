@@ -5,8 +5,10 @@ card number with a right check digit, a date a date, an address an address. One
 every document and notation (separators, order of a date), so links between documents survive; the values
 themselves don't. What fails its check stays.
 
-  card    13 to 19 digits of a right Luhn sum; all but the check digit, which is made anew
-  iban    right by mod 97; letters and digits of the account, check digits made anew
+  card    13 to 19 digits of a right Luhn sum, with single spaces or hyphens between groups; all but the check
+          digit, which is made anew. Beside other numbers groups as printed on cards come first, then the longest
+  iban    right by mod 97, in one word or in groups of four; letters and digits of the account, check digits
+          made anew
   date    1900-01-01 to 2100-01-01 as yyyy-mm-dd, or dd/mm/yyyy (mm/dd/yyyy if only that is a date), also
           with dots; the day's number in that span
   phone   ten digits of North America, with or without +1, and + numbers of 8 to 15 digits
@@ -32,14 +34,27 @@ KEY = "verbatlas"  # a deployment sets its own in spark.verbatlas.pii.key
 FIRST_DAY, DAYS = "1900-01-01", (150, 487)  # 150 * 487 = 73050 days
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+# Checks that a regular expression can't make are made before the search: right cards have their digits moved to
+# noncharacters and a mark behind them, right IBANs in groups have marks around them. ESCAPE parts these from
+# noncharacters that a text itself holds.
+MOVED = "".join(map(chr, range(0xFDD0, 0xFDDA)))
+CARD_END, IBAN_START, IBAN_END, ESCAPE = "\ufdda", "\ufddb", "\ufddc", "\ufdef"
+GROUPED = r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9]))"
+IBAN = rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}(?![A-Za-z0-9])|{IBAN_START}[A-Z0-9 ]++{IBAN_END}"
 TOKEN = r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])"
 DATE = r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([/.])[0-9]{2}\1[0-9]{4})(?![0-9]|[/.\-][0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9](?:[ \-]?[0-9]){7,14}(?![0-9])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
-CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
-ANY = "|".join((EMAIL, IBAN, TOKEN, DATE, IP, SSN, PHONE, CARD))
+RUN = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,}+"
+CARD = rf"[{MOVED}](?:[ \-]?[{MOVED}]){{12,18}}{CARD_END}"
+# Of groups in a run: as cards are printed or in one piece, then any groups, the longest first; other numbers
+# beside a card have a right sum with some of its groups one time in ten.
+FORMS = [rf"[0-9]{{4}}([ \-])[0-9]{{4}}\2[0-9]{{4}}\2[0-9]{{4}}{more}" for more in (r"\2[0-9]{3}", "")]
+FORMS += [rf"[0-9]{{4}}([ \-])[0-9]{{6}}\2[0-9]{{{n}}}" for n in (5, 4)] + ["[0-9]{13,19}"]
+FORMS += [rf"[0-9](?:[ \-]?[0-9]){{{n - 1}}}" for n in range(19, 12, -1)]
+OTHERS = "|".join((EMAIL, IBAN, TOKEN, DATE, IP, SSN, PHONE))
+ANY_RUN, ANY = f"{OTHERS}|{RUN}", f"{OTHERS}|{CARD}"
 
 
 def _let(value: Column, use) -> Column:
@@ -95,7 +110,38 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + d) % 10
 
 
-def _card(m: Column, key: str) -> Column:
+def _joined(parts: Column, between: Column) -> Column:
+    return F.array_join(F.flatten(F.zip_with(parts, F.concat(between, F.array(F.lit(""))), lambda p, m: F.array(p, m))), "")
+
+
+def _marked_cards(run: Column) -> Column:
+    """A run of digit groups with its cards marked: whole groups of a right sum, in the order of FORMS."""
+
+    def of_form(a: Column, pattern: Column) -> Column:
+        right = F.filter(F.array_distinct(F.regexp_extract_all(a, pattern, F.lit(1))), lambda c: luhn(_digits(c)) == 0)
+        return F.aggregate(right, a, lambda b, c: F.regexp_replace(b, F.concat(F.lit("(?<![0-9])"), c, F.lit("(?![0-9])")), F.concat(F.translate(c, "0123456789", MOVED), F.lit(CARD_END))))
+
+    return F.aggregate(F.array(*(F.lit(rf"(?<![0-9])(?=({form})(?![0-9]))") for form in FORMS)), run, of_form)
+
+
+def _marked_ibans(text: Column) -> Column:
+    """Of each start in groups of four the most groups that are right by mod 97 are marked."""
+
+    def right(c: Column) -> Column:
+        groups = F.split(c, " ")
+        heads = F.transform(F.sequence(F.size(groups), F.lit(3), F.lit(-1)), lambda n: F.array_join(F.slice(groups, 1, n), " "))
+        size = lambda h: F.length(F.regexp_replace(h, " ", ""))
+        return F.get(F.filter(heads, lambda h: size(h).between(15, 34) & _let(F.regexp_replace(h, " ", ""), lambda x: mod97(F.concat(F.substr(x, F.lit(5)), F.left(x, F.lit(4)))) == 1)), F.lit(0))
+
+    found = F.filter(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(GROUPED), F.lit(1))), right), lambda h: h.isNotNull())
+    longest = F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
+    mark = lambda a, h: F.regexp_replace(a, F.concat(F.lit(f"(?<![A-Za-z0-9{IBAN_START}])"), h, F.lit("(?![A-Za-z0-9])")), F.concat(F.lit(IBAN_START), h, F.lit(IBAN_END)))
+    return F.when(text.rlike("[A-Z]{2}[0-9]{2} [A-Z0-9]{4} [A-Z0-9]{4} "), F.aggregate(longest, text, mark)).otherwise(text)
+
+
+def _card(found: Column, key: str) -> Column:
+    m = F.translate(found, MOVED + CARD_END, "0123456789")
+
     def valid(d: Column) -> Column:
         body = F.slice(d, 1, F.size(d) - 1)
         new = permute(body, F.transform(body, lambda _: F.lit(10)), "card", key)
@@ -111,10 +157,12 @@ def mod97(s: Column) -> Column:
     return F.aggregate(_chars(s), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
 
 
-def _iban(m: Column, key: str) -> Column:
+def _iban(found: Column, key: str) -> Column:
+    m = F.regexp_replace(found, f"[ {IBAN_START}{IBAN_END}]", "")
     land, account = F.left(m, F.lit(2)), F.substr(m, F.lit(5))
     new = _let(_by_kind(account, 26, "iban", key), lambda a: F.concat(land, F.lpad((98 - mod97(F.concat(a, land, F.lit("00")))).cast("string"), 2, "0"), a))
-    return F.when(mod97(F.concat(account, F.left(m, F.lit(4)))) == 1, new).otherwise(m)
+    shaped = F.when(found.startswith(IBAN_START), F.regexp_replace(new, "(.{4})(?=.)", "$1 ")).otherwise(new)
+    return F.when(mod97(F.concat(account, F.left(m, F.lit(4)))) == 1, shaped).otherwise(m)
 
 
 def _date(m: Column, key: str) -> Column:
@@ -173,7 +221,7 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(_by_kind(F.substring_index(m, "@", 1), 26, "email", key), F.lit("@"), F.substring_index(m, "@", -1))
 
 
-KINDS = [("email", "@", _email), ("token", "^[0-9a-f]{32,64}$", lambda m, k: _by_kind(m, 6, "token", k)), ("iban", "^[A-Z]", _iban), ("date", f"^(?:{DATE})$", _date), ("ip", r"^[0-9]+(?:\.[0-9]+){3}$", _ip), ("ssn", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", _ssn), ("phone", f"^(?:{PHONE})$", _phone), ("card", "", _card)]
+KINDS = [("email", "@", _email), ("token", "^[0-9a-f]{32,64}$", lambda m, k: _by_kind(m, 6, "token", k)), ("iban", f"^[A-Z{IBAN_START}]", _iban), ("date", f"^(?:{DATE})$", _date), ("ip", r"^[0-9]+(?:\.[0-9]+){3}$", _ip), ("ssn", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", _ssn), ("phone", f"^(?:{PHONE})$", _phone), ("card", "", _card)]
 
 
 def pseudonym(m: Column, key: str = KEY) -> Column:
@@ -184,22 +232,31 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return out.otherwise(m)
 
 
-def pseudonymized(text: Column, key: str = KEY) -> dict[str, Column]:
-    """Columns to add one after the other: found, parts, then made, the pseudonyms of found."""
-    return {"_found": F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), "_parts": F.split(text, ANY, -1)}
-
-
 def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
     """(doc_id, text, n_found, n_replaced) of every row, text with pseudonyms in place of its valid values.
 
     Null texts are empty. Rows stay as they are, repeated ones and null ids too; other columns are ignored.
+    n_found counts a run of digits without a right card as one.
     """
     key = key or docs.sparkSession.conf.get("spark.verbatlas.pii.key", KEY)
     base = common.id_and_text(docs)
-    found = base.withColumns(pseudonymized(F.col("text"), key)).withColumn("_made", F.transform("_found", lambda m: pseudonym(m, key)))
-    joined = F.array_join(F.flatten(F.zip_with("_parts", F.concat("_made", F.array(F.lit(""))), lambda p, m: F.array(p, m))), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_made", lambda a, b: a != b), lambda x: x))
-    return found.select("doc_id", F.when(F.size("_found") > 0, joined).otherwise(F.col("text")).alias("text"), F.size("_found").alias("n_found"), changed.alias("n_replaced"))
+    held = F.when(F.col("text").rlike(f"[{MOVED[0]}-{ESCAPE}]"), F.regexp_replace("text", f"([{MOVED[0]}-{ESCAPE}])", f"{ESCAPE}$1")).otherwise(F.col("text"))
+    # First pass: runs of digits. Where there are some, a second one over the text with its cards marked.
+    first = base.withColumn("_text", _marked_ibans(held)).withColumn("_first", F.regexp_extract_all("_text", F.lit(ANY_RUN), F.lit(0)))
+    marked = F.transform("_first", lambda m: F.when(m.rlike(f"^(?:{RUN})$"), _marked_cards(m)).otherwise(m))
+    runs = F.filter("_first", lambda m: m.rlike(f"^(?:{RUN})$") & ~m.rlike(f"^(?:{TOKEN})$"))
+    second = first.withColumns({"_runs": runs, "_marked": marked})
+    again = F.size("_runs") > 0
+    second = second.withColumn("_again", F.when(again, _joined(F.split("_text", ANY_RUN, -1), F.col("_marked"))))
+    found = second.withColumns({"_found": F.when(again, F.regexp_extract_all("_again", F.lit(ANY), F.lit(0))).otherwise(F.col("_first")), "_parts": F.when(again, F.split("_again", ANY, -1)).otherwise(F.split("_text", ANY_RUN, -1))})
+    found = found.withColumn("_made", F.transform("_found", lambda m: pseudonym(m, key)))
+    whole = _joined(F.col("_parts"), F.col("_made"))
+    text = F.when(whole.contains(ESCAPE), F.regexp_replace(whole, f"{ESCAPE}([{MOVED[0]}-{ESCAPE}])", "$1")).otherwise(whole)
+    plain = lambda m: F.translate(m, MOVED + CARD_END + IBAN_START + IBAN_END, "0123456789")
+    changed = F.size(F.filter(F.zip_with("_found", "_made", lambda a, b: plain(a) != b), lambda x: x))
+    wrong = F.size(F.filter("_runs", lambda m: F.array_contains("_marked", m)))
+    n_found = F.size("_found") + wrong
+    return found.select("doc_id", F.when(F.size("_found") > 0, text).otherwise(F.col("text")).alias("text"), n_found.alias("n_found"), changed.alias("n_replaced"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
