@@ -74,3 +74,13 @@ def test_odd_rows(spark, odd, repeated, none, odd_texts):
     kept = j.stage(spark, odd, "")
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in brute(list(enumerate(odd_texts))) if r[0] == r[1]}
+
+
+def test_blocks_are_bounded_by_rows(spark):
+    sizes = spark.range(20_000).selectExpr("id as node", "cast(0 as bigint) as root", "id as first_id", "cast(10 as bigint) as size")
+    counts = [r["count"] for r in j.in_blocks(sizes).groupBy("block").count().collect()]
+    assert sum(counts) == 20_000 and max(counts) < 1.2 * j.ROWS
+    texts = [(k, f"one two three four five six seven eight nine ten eleven twelve {'x' * (k % 60 + 1)}") for k in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    whole = sorted(map(str, j.jaccard_links(docs).collect()))
+    assert sorted(map(str, j.jaccard_links(docs, block_rows=7).collect())) == whole and "n_links=59" in whole[0]

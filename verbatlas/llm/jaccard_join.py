@@ -31,6 +31,7 @@ LEAST = 0.8
 RECALL = 0.999
 TREES, DEPTH = 26, 8
 BLOCK = 400_000  # shingles aimed at in a block
+ROWS = 2_000  # and nodes, as two blocks are compared in matrices of all their nodes
 _PUNCTUATION = re.compile(r"[\W_]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -210,7 +211,15 @@ def _texts_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([pa.array(node, pa.int64()), pa.array(root, pa.int64()), pa.array(block, pa.int32()), pa.array(blocks, pa.int32()), pa.array(sets, pa.binary())], ["node", "root", "block", "blocks", "shingles"])
 
 
-def jaccard_links(docs: DataFrame, least: float = LEAST, recall: float = RECALL, trees: int = TREES, block: int = BLOCK) -> DataFrame:
+def in_blocks(sizes: DataFrame, block: int = BLOCK, rows: int = ROWS) -> DataFrame:
+    """sizes (node, root, size and others) with blocks, how many its component is cut into, and block."""
+    totals = sizes.groupBy("root").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("total") / block), F.ceil(F.col("n") / rows)).cast("int")
+    cut = sizes.join(totals, "root").withColumn("blocks", blocks)
+    return cut.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
+
+
+def jaccard_links(docs: DataFrame, least: float = LEAST, recall: float = RECALL, trees: int = TREES, block: int = BLOCK, block_rows: int = ROWS) -> DataFrame:
     """(doc_id, node, class_id, n_links, n_copies) of every row of docs.
 
     class_id: the least doc_id of the texts connected by links of a Jaccard of at least that much; n_links:
@@ -233,8 +242,7 @@ def jaccard_links(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
     groups = common.stored(components(ties), "groups")
 
     sizes = groups.join(nodes, "node").select("node", "root", "first_id", "size")
-    totals = sizes.groupBy("root").agg(F.sum("size").alias("total"))
-    placed = sizes.join(totals, "root").withColumn("blocks", F.ceil(F.col("total") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
+    placed = in_blocks(sizes, block, block_rows)
     members = texts.join(placed.select(F.col("first_id").alias("doc_id"), "node", "root", "block", "blocks"), "doc_id").select("text", "node", "root", "block", "blocks")
     sets = common.stored(members.mapInArrow(_texts_shingles, "node bigint, root bigint, block int, blocks int, shingles binary").dropDuplicates(["node"]), "sets")
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "shingles")
