@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash bands with exact verification.
 
 Words are runs without white space, in lower case, without punctuation; a text's shingles are its runs of
-WORDS words (of all its words if it has fewer). Texts of equal words are one node. Each of TREES trees sorts
-the nodes by DEPTH MinHash values; nodes with a common prefix are candidates. The prefix starts at its full
-depth and is shortened until the recall that the trees promise at the threshold reaches the target.
+WORDS words (of all its words if it has fewer). Texts of equal words are one node. Each of TREES bands has
+up to DEPTH MinHash values; nodes whose values of a band are equal are candidates. How many values count is
+fixed beforehand: as many as leave a pair at the threshold a chance of RECALL, by formula, to be candidates.
 
 Candidates connect: each node is tied to the least one of its bucket, and the components of these ties are
 cut into blocks of bounded size by a hash. Every pair of a component's blocks is one unit of work, where all
