@@ -42,3 +42,12 @@ def test_odd_rows(spark, odd, repeated, none, odd_texts, library):
     assert all(texts[k] == (t or "") for k, t in enumerate(odd_texts))
     assert sp.encode(repeated, sp.model_path()).count() == 6 and sp.encode(none, sp.model_path()).count() == 0
     assert sp.stage(spark, odd, "").columns == ["doc_id", "source", "lang", "n_tokens", "ids"]
+
+
+@pytest.mark.parametrize("most, most_bytes, window", [(3, 1 << 20, 1 << 19), (1000, 10, 7), (0, 0, 1)])
+def test_small_caches_and_windows_change_nothing(vocabulary, library, monkeypatch, most, most_bytes, window):
+    monkeypatch.setattr(sp.Vocabulary, "MOST", most)
+    monkeypatch.setattr(sp.Vocabulary, "MOST_BYTES", most_bytes)
+    monkeypatch.setattr(sp, "WINDOW", window)
+    for texts in (TEXTS[:6], TEXTS[6:], ["abcdefgh" * 400 + "é日" + "xyz" * 300], TEXTS):
+        assert [np.frombuffer(x, "<u4").tolist() for x in vocabulary.encode(texts)] == [library.encode(t) for t in texts]

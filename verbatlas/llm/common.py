@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -88,6 +89,38 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(operator: str, name: str, make: Callable[[], object]):
+    """What make() gives, kept by a worker from task to task, of one operator at a time.
+
+    Workers are used again by the stages that follow; whoever comes next lets go of what others have kept.
+    """
+    if any(k[0] != operator for k in _kept):
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    if (operator, name) not in _kept:
+        _kept[operator, name] = make()
+    return _kept[operator, name]
+
+
+class WordCache(dict):
+    """From a raw word to look(word). It only spares work: it starts anew beyond MOST words, and words of more than
+    LONGEST characters aren't kept, so its bytes are bounded."""
+
+    MOST, LONGEST = 400_000, 40
+
+    def __missing__(self, raw: str):
+        value = self.look(raw)
+        if len(raw) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[raw] = value
+        return value
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,9 +12,9 @@ the one row of pieces whose neighbours all are, so ids equal those of merging by
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from verbatlas.llm import common
 
 MARK = "▁"
-WORDS_AT_ONCE = 60_000  # unknown words of one index
+WINDOW = 1 << 18  # characters of one index
 LATE = np.int64(1) << 40
 
 
@@ -37,7 +37,7 @@ def _table(rows: list[list[int]]) -> np.ndarray:
 class Vocabulary:
     """Pieces of a SentencePiece BPE model whose normalization is the identity, read by the library."""
 
-    MOST = 500_000  # words kept; then it starts anew, it only spares work
+    MOST, MOST_BYTES = 600_000, 40 << 20  # words kept, and their characters and ids; then it starts anew, it only spares work
 
     def __init__(self, path: str):
         import sentencepiece
@@ -74,7 +74,13 @@ class Vocabulary:
         self.low = np.array([k.ljust(2 * self.depth, b"\0") for k in keys], f"S{2 * self.depth}")
         self.high = np.array([k.ljust(2 * self.depth, b"\xff") for k in keys], f"S{2 * self.depth}")
         self._merges(text, [model.get_score(i) for i in normal])
-        self.known: dict[str, bytes] = {}
+        self.strange = re.compile("([^" + re.escape("".join(self.code)) + "])")
+        self.lookup = np.zeros(0x110000, ">u2")
+        self.lookup[[ord(c) for c in self.code]] = list(self.code.values())
+        self.mark, self.line_end = self._ids_of([MARK, "\n"])
+        self.known: dict[str, bytes] = {}  # words behind a space
+        self.at_line: dict[str, bytes] = {}  # words at the start of a line
+        self.held = 0
 
     def _merges(self, text: list[str], score: list[float]) -> None:
         """Ranks, all pairs that merge, and of each piece the pieces at its left and right edge while it grows."""
@@ -130,90 +136,119 @@ class Vocabulary:
                 out[live[early]] = False
         return out
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Numbers (places in self.ids) of the pieces of words whose characters are all known."""
-        size = np.array([len(w) for w in words])
-        ends = np.cumsum(size + 1)
-        starts = ends - size - 1
-        text = np.zeros(int(ends[-1]) + self.depth, ">u2")
-        text[: ends[-1]] = [c for w in words for c in (*map(self.code.__getitem__, w), 0)]
-        suffixes = np.lib.stride_tricks.sliding_window_view(text, self.depth)[: ends[-1]]
+    def _edges(self, text: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of every occurrence that ends in (low, high], from the sorted suffixes near there."""
+        first = max(0, low - self.depth)
+        suffixes = np.lib.stride_tricks.sliding_window_view(text[first : high + self.depth], self.depth)[: high - first]
         keys = np.ascontiguousarray(suffixes).view(f"S{2 * self.depth}").ravel()
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
-        low, high = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
-        count = high - low
+        begin, count = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
+        count -= begin
         piece = np.repeat(np.arange(count.size), count)
-        start = order[np.repeat(low - np.cumsum(count) + count, count) + np.arange(piece.size)]
+        start = first + order[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(piece.size)]
         end = start + self.size[piece]
-        word = np.searchsorted(ends, start, "right")
-        # by place of the end within its word, longest first: what is relaxed together stands together
-        by = np.lexsort((start, end - starts[word]))
-        start, end, piece, word = start[by], end[by], piece[by], word[by]
-        step = end - starts[word]
-        last = np.full(text.size + 1, -1, np.int64)
-        cuts = np.searchsorted(step, np.arange(1, int(size.max()) + 2))
-        for k in range(cuts.size - 1):
-            s, e, p, w = (x[cuts[k] : cuts[k + 1]] for x in (start, end, piece, word))
-            length = e - s
-            for n in range(int(length.max()) if length.size else 0, 0, -1):
-                mine = np.flatnonzero((length == n) & (last[e] < 0))
-                if not mine.size:
-                    continue
-                first = s[mine] == starts[w[mine]]
-                good = first & (self.rank[p[mine]] < LATE)
-                rest = np.flatnonzero(~first & (last[s[mine]] >= 0) & (self.rank[p[mine]] < LATE))
-                if rest.size:
-                    pairs, back = np.unique(last[s[mine[rest]]] << 20 | p[mine[rest]], return_inverse=True)
-                    good[rest] = self.compatible(pairs >> 20, pairs & ((1 << 20) - 1))[back]
-                done = mine[good]
-                last[e[done]] = p[done]
+        mine = (end > low) & (end <= high) & (self.rank[piece] < LATE)
+        return start[mine], end[mine], piece[mine]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (places in self.ids) of the pieces of words whose characters are all known, and how many each has.
+
+        Edges are made and relaxed for WINDOW ends at a time, so a text of one endless word needs no more memory
+        than its own characters and the last piece up to each.
+        """
+        size = np.array([len(w) for w in words])
+        ends = np.cumsum(size + 1)
+        starts = ends - size - 1
+        text = np.zeros(int(ends[-1]) + self.depth, ">u2")
+        text[: ends[-1] - 1] = self.lookup[np.frombuffer("\0".join(words).encode("utf-32-le"), "<u4")]
+        last = np.full(text.size + 1, -1, np.int32)
+        for low in range(0, int(ends[-1]), WINDOW):
+            start, end, piece = self._edges(text, low, min(low + WINDOW, int(ends[-1])))
+            word = np.searchsorted(ends, start, "right")
+            # by place of the end within its word: what is relaxed together stands together
+            step = end - starts[word]
+            by = np.argsort(step.astype(np.uint16) if step.size and step.max() < 1 << 16 else step, kind="stable")
+            start, end, piece, word, step = start[by], end[by], piece[by], word[by], step[by]
+            cuts = np.append(np.flatnonzero(np.diff(step, prepend=-1)), step.size)
+            for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                self._relax(last, start[b:e], end[b:e], piece[b:e], starts[word[b:e]])
+        return self._read_back(last, starts, size)
+
+    def _relax(self, last: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray, word_start: np.ndarray) -> None:
+        """Settles the last piece of each end, from all edges of like place in their words."""
+        length = end - start
+        for n in range(int(length.max()) if length.size else 0, 0, -1):
+            mine = np.flatnonzero((length == n) & (last[end] < 0))
+            if not mine.size:
+                continue
+            good = start[mine] == word_start[mine]
+            rest = np.flatnonzero(~good & (last[start[mine]] >= 0))
+            if rest.size:
+                pairs, back = np.unique(last[start[mine[rest]]].astype(np.int64) << 20 | piece[mine[rest]], return_inverse=True)
+                good[rest] = self.compatible(pairs >> 20, pairs & ((1 << 20) - 1))[back]
+            done = mine[good]
+            last[end[done]] = piece[done]
+
+    def _read_back(self, last: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = starts + size
-        live = np.flatnonzero(at > starts)
-        chosen = []
-        while live.size:
+        live = np.flatnonzero(size > 0)
+        owners, chosen = [], []
+        while live.size > 1000:  # many words: a piece of each at a time
             p = last[at[live]]
-            chosen.append((live, p))
+            owners.append(live)
+            chosen.append(p)
             at[live] -= self.size[p]
             live = live[at[live] > starts[live]]
-        owner, p = (np.concatenate(x) for x in zip(*chosen))
-        level = np.repeat(np.arange(len(chosen)), [len(c[0]) for c in chosen])
-        by = np.lexsort((-level, owner))
-        return np.split(p[by], np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
-
-    def learn(self, words: list[str]) -> None:
-        """Keeps the ids of words (without inner marks) as bytes."""
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        cut, plan = [], []
+        for k in live.tolist():  # few long ones: word by word
+            row, i, first = [], int(at[k]), int(starts[k])
+            while i > first:
+                row.append(last[i])
+                i -= int(self.size[row[-1]])
+            owners.append(np.full(len(row), k))
+            chosen.append(np.array(row, last.dtype))
+        if not chosen:
+            return np.empty(0, last.dtype), np.zeros(size.size, np.int64)
+        owner, p = np.concatenate(owners)[::-1], np.concatenate(chosen)[::-1]
+        return p[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=size.size)
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of words (with no mark but in front) as bytes; what lies between unknown characters is encoded apart."""
+        whole, odd = [], {}
+        known = self.code.keys()
+        for k, w in enumerate(words):
+            if known >= set(w):
+                whole.append(w)
+            else:
+                odd[k] = [x for x in re.split(self.strange, w) if x]
+                whole += [x for x in odd[k] if x[0] in self.code]
+        found = iter(self._pieces(whole))
+        out = []
+        for k in range(len(words)):
+            out.append(next(found) if k not in odd else b"".join(next(found) if x[0] in self.code else self._fallback(x) for x in odd[k]))
+        return out
+
+    def _pieces(self, words: list[str]) -> Iterator[bytes]:
+        part: list[str] = []
+        chars = 0
         for w in words:
-            parts, run = [], ""
-            for c in w:
-                if c in self.code:
-                    run += c
-                    continue
-                if run:
-                    parts.append(len(cut))
-                    cut.append(run)
-                    run = ""
-                parts.append(c)
-            if run:
-                parts.append(len(cut))
-                cut.append(run)
-            plan.append(parts)
-        encoded: list[np.ndarray] = []
-        for b in range(0, len(cut), WORDS_AT_ONCE):
-            encoded += self.encode_words(cut[b : b + WORDS_AT_ONCE])
-        for w, parts in zip(words, plan):
-            ids: list[int] = []
-            for part in parts:
-                if isinstance(part, int):
-                    ids += self.ids[encoded[part]].tolist()
-                elif self.bytes[0] >= 0:
-                    ids += self.bytes[list(part.encode())].tolist()
-                else:
-                    ids.append(self.unknown)
-            self.known[w] = np.array(ids, "<u4").tobytes()
+            part.append(w)
+            chars += len(w)
+            if chars >= WINDOW:
+                yield from self._joined(part)
+                part, chars = [], 0
+        if part:
+            yield from self._joined(part)
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        pieces, count = self.encode_words(words)
+        data = self.ids[pieces].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(count)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _fallback(self, c: str) -> bytes:
+        """Of a character that no piece holds."""
+        return np.array(self.bytes[list(c.encode())] if self.bytes[0] >= 0 else [self.unknown], "<u4").tobytes()
 
     def _spaces(self, n: int) -> bytes:
         """A run of n marks, merged from the left."""
@@ -221,41 +256,55 @@ class Vocabulary:
         while n:
             k = max((x for x in self.runs if x <= n), default=0)
             if not k:
-                return self.known[MARK] * n
+                return self.mark * n
             out.append(self.runs[k])
             n -= k
         return np.array(out, "<u4").tobytes()
 
+    def _learn(self, behind_space: set[str], at_line: set[str]) -> None:
+        """Keeps what is at hand; it must be known together, so all of it is learnt anew if the rest has to go."""
+        behind_space.discard("")
+        at_line.discard("")
+        if len(self.known) + len(behind_space - self.known.keys()) > self.MOST or self.held > self.MOST_BYTES:
+            self.known.clear()
+            self.at_line.clear()
+            self.held = 0
+        for kept, words, before in ((self.known, behind_space, MARK), (self.at_line, at_line, "")):
+            new = list(words - kept.keys())
+            found = self._ids_of([before + w for w in new])
+            kept.update(zip(new, found))
+            self.held += sum(map(len, new)) + sum(map(len, found))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        lines = [t.replace(MARK, " ").split("\n") if t else None for t in texts]
-        rows = [None if ls is None else [line.split(" ") for line in ls] for ls in lines]
-        wanted = {MARK, "\n"}
+        rows = [[line.split(" ") for line in t.replace(MARK, " ").split("\n")] if t else [] for t in texts]
+        behind_space: set[str] = set()
+        at_line: set[str] = set()
         for row in rows:
-            for k, parts in enumerate(row or ()):
+            for k, parts in enumerate(row):
+                behind_space.update(parts[1:] if k else parts)
                 if k:
-                    wanted.add(parts[0])
-                wanted.update(MARK + p for p in (parts[1:] if k else parts))
-        self.learn([w for w in wanted if w and w not in self.known])
-        known, out, mark, line_end = self.known, [], self.known[MARK], self.known["\n"]
+                    at_line.add(parts[0])
+        self._learn(behind_space, at_line)
+        known, out = self.known, []
         for row in rows:
             found: list[bytes] = []
-            for k, parts in enumerate(row or ()):
+            for k, parts in enumerate(row):
                 if k:
-                    found.append(line_end)
+                    found.append(self.line_end)
                     if parts[0]:
-                        found.append(known[parts[0]])
+                        found.append(self.at_line[parts[0]])
                     parts = parts[1:]
                 if "" not in parts:
-                    found += [known[MARK + p] for p in parts]
+                    found += map(known.__getitem__, parts)
                     continue
                 waiting = 0
                 for p in parts:
                     if not p:
                         waiting += 1
                         continue
-                    ids = known[MARK + p]
-                    if waiting and ids[:4] == mark:
+                    ids = known[p]
+                    if waiting and ids[:4] == self.mark:
                         found += [self._spaces(waiting + 1), ids[4:]]
                     else:
                         found += [self._spaces(waiting), ids]
@@ -270,10 +319,8 @@ class Vocabulary:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    """A worker keeps it, and the words it has met, from task to task."""
-    return Vocabulary(path)
+    return common.kept("sentencepiece", path, lambda: Vocabulary(path))
 
 
 def _encode(path: str):
