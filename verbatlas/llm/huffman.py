@@ -13,7 +13,6 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -102,10 +101,8 @@ class Encoder:
         return [self.whole(t) if r is None else b"".join([known[w] for w in r]) for t, r in zip(texts, rows)]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """A worker keeps it, and the words it has met, from task to task."""
-    return Encoder(path)
+    return common.kept("huffman", path, lambda: Encoder(path))
 
 
 def _tokenize(path: str, end: int):

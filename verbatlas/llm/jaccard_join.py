@@ -36,24 +36,16 @@ _PUNCTUATION = re.compile(r"[\W_]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class Words(dict):
+class Words(common.WordCache):
     """From a raw word to its hash, 0 if nothing is left of it."""
 
-    MOST = 400_000  # then it starts anew; it only spares work
-
-    def __missing__(self, raw: str) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
+    def look(self, raw: str) -> int:
         word = _PUNCTUATION.sub("", raw.lower())
-        value = (xxhash.xxh64_intdigest(word) >> 1) | 1 if word else 0
-        self[raw] = value
-        return value
+        return (xxhash.xxh64_intdigest(word) >> 1) | 1 if word else 0
 
 
-@lru_cache(maxsize=1)
 def shared_words() -> Words:
-    """A worker keeps the words it has met from task to task."""
-    return Words()
+    return common.kept("jaccard_join", "words", Words)
 
 
 def word_hashes(text: str, words: Words) -> np.ndarray:

@@ -12,7 +12,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,24 +39,16 @@ al como con del el ella ese esta este fue hay las lo los más mi no para pero po
 _PUNCTUATION = re.compile(r"[\W_]+")
 
 
-class Words(dict):
+class Words(common.WordCache):
     """From a raw word to its number: 0 nothing left of it, odd an anchor, even a content word."""
 
-    MOST = 400_000  # then it starts anew; it only spares work
-
-    def __missing__(self, raw: str) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
+    def look(self, raw: str) -> int:
         word = _PUNCTUATION.sub("", raw.lower())
-        value = (xxhash.xxh64_intdigest(word) >> 2 << 1) + (word in ANCHORS) if word else 0
-        self[raw] = value
-        return value
+        return (xxhash.xxh64_intdigest(word) >> 2 << 1) + (word in ANCHORS) if word else 0
 
 
-@lru_cache(maxsize=1)
 def shared_words() -> Words:
-    """A worker keeps the words it has met from task to task."""
-    return Words()
+    return common.kept("spotsigs", "words", Words)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +29,11 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
 
 
-@lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray]:
+    return common.kept("suffix_dedup", "powers", _make_powers)
+
+
+def _make_powers() -> tuple[np.ndarray, np.ndarray]:
     n = PIECE + LENGTH + 1
     base = 0x100000001B3
     up = np.full(n, base, np.uint64)
