@@ -30,6 +30,45 @@ def test_learns_pairs():
     assert (guess & truth).sum() >= 0.9 * truth.sum() and (guess & ~truth).sum() <= 0.1 * (~truth).sum()
 
 
+def test_learns_pairs_whose_members_mean_nothing_alone():
+    """Toxic is exactly one of two words: no linear weights can tell."""
+    rng = random.Random(3)
+    words, texts, labels = [f"w{k}" for k in range(300)], [], []
+    for _ in range(6000):
+        kind = rng.randrange(4)
+        texts.append(" ".join(rng.choices(words, k=12) + ["insult"] * (kind in (1, 3)) + ["group"] * (kind in (2, 3))))
+        labels.append(float(kind in (1, 2)))
+    cache, labels = t.Words(), np.array(labels)
+    sets = [t.slots(x, cache) for x in texts]
+    model = t.fit(sets[:4500], labels[:4500], np.ones(4500))
+    assert ((model.score(sets[4500:]) >= 0.5) == (labels[4500:] > 0)).mean() >= 0.98
+    linear = t.Model(model.bias, model.row, model.w, np.zeros_like(model.v))
+    assert ((linear.score(sets[4500:]) >= 0.5) == (labels[4500:] > 0)).mean() <= 0.7
+
+
+def test_score_against_the_formula():
+    """Pair by pair in plain Python."""
+    rng = np.random.default_rng(5)
+    n = 6
+    row = np.full(1 << t.BITS, -1, np.int32)
+    row[:n] = np.arange(n)
+    model = t.Model(0.3, row, rng.normal(size=n), rng.normal(size=(n, t.FACTORS)))
+    sets = [np.array(x, np.int64) for x in ([], [2], [0, 1, 5], [0, 1, 2, 3, 4, 5, 9])]
+    for s, found in zip(sets, model.score(sets)):
+        known = [int(k) for k in s if k < n]
+        logit = 0.3 + sum(model.w[k] for k in known) + sum(sum(a * b for a, b in zip(model.v[i], model.v[j])) for i in known for j in known if i < j)
+        assert abs(found - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
+def test_rows_beyond_the_byte_bound_are_not_learnt_from(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "vile words here" if i % 2 else "kind words there") for i in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(t, "MOST_BYTES", 0)
+    assert not t.learn(docs, labels).w.size
+    monkeypatch.setattr(t, "MOST_BYTES", 1 << 20)
+    assert t.learn(docs, labels).w.size
+
+
 def test_learns_and_scores_tables(spark):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(200)]

@@ -1,21 +1,22 @@
 """Toxicity by a factorization machine over hashed words.
 
 score = sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>) over the distinct words of a text, so a pair of words
-(an insult and the mention of a group, say) can weigh more or less than both alone. Learning runs on the
-driver over a bounded sample of labelled rows; scoring is one pass over all texts.
+(an insult and the mention of a group, say) can weigh more or less than both alone. Every learnt word has
+factors, also one that means nothing alone. Learning runs on the driver over a bounded sample of labelled
+rows; scoring is one pass over all texts, of which only the text goes to Python.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.llm import common
@@ -25,31 +26,26 @@ STEMS = (4, 5)
 FACTORS = 8
 THRESHOLD = 0.3
 MOST_POSITIVE, MOST_NEGATIVE = 4_000, 8_000  # labelled rows learnt from, those of the lowest hash of their id
-PULL = 0.25  # of weights towards their prior
-FREE = 0.01  # the same, and of factors towards 0, for words that stand out by themselves; only those have factors
+MOST_BYTES = 128 << 20  # of those rows' slots on the driver; a row beyond it isn't learnt from
+# Settings chosen by folds within the rows that may be learnt from (crc32 mod 4 = 0, 1, 3).
+PULL, FREE = 0.25, 0.01  # of weights towards their prior; FREE for words that stand out by themselves
+FACTOR_START, FACTOR_PULL, FACTOR_RATE = 0.005, 0.1, 0.05  # spread at first, pull towards 0, share of the weights' rate
+ROUNDS = 8
 LEAST_ROWS = 4  # of the sample that hold a word, else it isn't learnt
 _PUNCTUATION = re.compile(r"[\W_]+")
 
 
-class Words(dict):
+class Words(common.WordCache):
     """From a raw word to the slots of its terms: the word and its stems of STEMS letters; none if nothing is left of it."""
 
-    MOST = 400_000  # then it starts anew; it only spares work
-
-    def __missing__(self, raw: str) -> tuple[int, ...]:
-        if len(self) >= self.MOST:
-            self.clear()
+    def look(self, raw: str) -> tuple[int, ...]:
         word = _PUNCTUATION.sub("", raw.lower())
         terms = [word] * bool(word) + [f"{word[:n]}-" for n in STEMS if len(word) > n]
-        value = tuple(xxhash.xxh64_intdigest(t) >> (64 - BITS) for t in terms)
-        self[raw] = value
-        return value
+        return tuple(xxhash.xxh64_intdigest(t) >> (64 - BITS) for t in terms)
 
 
-@lru_cache(maxsize=1)
 def shared_words() -> Words:
-    """A worker keeps the words it has met from task to task."""
-    return Words()
+    return common.kept("toxicity", "words", Words)
 
 
 def slots(text: str, words: Words) -> np.ndarray:
@@ -102,7 +98,7 @@ def _prior(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, lear
     return odds * np.clip(away - 1, 0, 1), away > 1
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds: int = 6, seed: int = 7) -> Model:
+def fit(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS, seed: int = 7) -> Model:
     """Adagrad over minibatches; without rows, or with one label only, the bias alone tells the share."""
     share = float(np.clip((labels * weights).sum() / max(weights.sum(), 1e-9), 1e-3, 1 - 1e-3)) if len(sets) else 0.01
     bias = float(np.log(share / (1 - share)))
@@ -112,12 +108,12 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds:
     row[learnt] = np.arange(learnt.size)
     rng = np.random.default_rng(seed)
     w, out = _prior(sets, labels, weights, learnt)
-    v = rng.normal(0, 0.05, (learnt.size, FACTORS)) * out[:, None]
+    v = rng.normal(0, FACTOR_START, (learnt.size, FACTORS))
     prior, pull = w.copy(), np.where(out, FREE, PULL)
     model = Model(bias, row, w, v)
     if not len(sets) or labels.min() == labels.max():
         return model
-    gw, gv, gb = np.full(w.shape, 1.0), np.full(v.shape, 1.0), 1.0
+    gw, gv, gb = np.full(w.shape, 1.0), np.full(v.shape, 1e-3), 1.0
     kept = [row[s] for s in sets]
     kept = [k[k >= 0] for k in kept]
     for step in range(rounds):
@@ -138,12 +134,12 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds:
             e = np.add.reduceat(error[by], first) if first.size else np.empty(0)
             pulled = np.add.reduceat((error[:, None] * sums)[by], first, axis=0) if first.size else np.empty((0, FACTORS))
             dw = e + (pull * (w - prior))[used]
-            dv = (pulled - e[:, None] * v[used] + FREE * v[used]) * out[used, None]
+            dv = pulled - e[:, None] * v[used] + FACTOR_PULL * v[used]
             gw[used] += (dw * part.size) ** 2
             gv[used] += (dv * part.size) ** 2
             gb += (error.sum() * part.size) ** 2
             w[used] -= rate * part.size * dw / np.sqrt(gw[used])
-            v[used] -= 0.3 * rate * part.size * dv / np.sqrt(gv[used])
+            v[used] -= FACTOR_RATE * rate * part.size * dv / np.sqrt(gv[used])
             model.bias -= rate * error.sum() * part.size / np.sqrt(gb)
     return model
 
@@ -173,7 +169,12 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Model:
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     chosen = [marks.where(F.col("toxic") == t).withColumn("order", F.xxhash64("doc_id")).orderBy("order").limit(most) for t, most in ((1, MOST_POSITIVE), (0, MOST_NEGATIVE))]
-    rows = common.id_and_text(docs).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").mapInArrow(_sample, "toxic int, order bigint, slots binary").collect()
+    sample = common.id_and_text(docs).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").mapInArrow(_sample, "toxic int, order bigint, slots binary")
+    sample = common.stored(sample, "labelled-slots")
+    sizes = sorted(map(tuple, sample.select("order", F.octet_length("slots")).collect()))  # two numbers a row
+    within = np.cumsum([n for _, n in sizes]) <= MOST_BYTES
+    last = max((o for (o, _), fits in zip(sizes, within) if fits), default=None)
+    rows = sample.where(F.col("order") <= last).collect() if last is not None else []
     rows.sort(key=lambda r: (r.order, r.toxic, bytes(r.slots)))
     y = np.array([r.toxic for r in rows], np.float64)
     seen = {t: max(1, int((y == t).sum())) for t in (0, 1)}
@@ -182,24 +183,29 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Model:
     return fit([np.frombuffer(r.slots, np.int32) for r in rows], y, weights)
 
 
-def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, which has a text, with score and predicted behind its own columns (in place of any it has).
-
-    Null and empty texts score by the bias alone. Every row stays, repeated ones too.
-    """
-    spark = docs.sparkSession
+def score_of(text: Column, model: Model, spark: SparkSession) -> Column:
+    """The score of a text; null and empty ones score by the bias alone."""
     common.ship(spark)
     sent = spark.sparkContext.broadcast((model.bias, model.row, model.w.astype(np.float32), model.v.astype(np.float32)))  # 1 << BITS slots at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, own = shared_words(), Model(*sent.value)
-        for batch in common.slices(batches, "text"):
-            s = own.score([slots(t or "", words) for t in batch.column("text").to_pylist()])
-            yield pa.record_batch([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], [*batch.schema.names, "score", "predicted"])
+        for texts in batches:
+            sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+            cuts = np.unique(np.searchsorted(sizes, np.arange(0, sizes[-1] if sizes.size else 0, 4 << 20)))
+            parts = [own.score([slots(t or "", words) for t in texts.slice(a, b - a).to_pylist()]) for a, b in zip(cuts, [*cuts[1:], len(texts)])]
+            yield pa.array(np.concatenate(parts) if parts else own.score([slots("", words)] * len(texts)), pa.float64())
 
-    docs = docs.drop("score", "predicted")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return F.arrow_udf(run, "double")(text)
+
+
+def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, which has a text, with score and predicted behind its own columns (in place of any it has).
+
+    Every row stays, repeated ones too.
+    """
+    out = docs.drop("score", "predicted").withColumn("score", score_of(F.col("text"), model, docs.sparkSession))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -212,5 +218,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model doesn't call toxic, with the columns of docs."""
     model = learn(docs, common.read(spark, sf_dir, "labels"), held_out=False)
-    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
-    return scored(rows, model).where("predicted = 0").select("row.*")
+    return docs.where(score_of(F.col("text"), model, spark) < THRESHOLD)
