@@ -121,11 +121,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with the text (and n_chars) that stays; documents that lose all they had go."""
+    """docs with the text (and n_chars, where it has one) that stays; documents that lose all they had go."""
     done = dedup_lines(docs).where("n_dropped > 0").select("place", "row_hash", "kept").dropDuplicates(["place", "row_hash"])
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("place"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"))
     out = keyed.join(done, ["place", "row_hash"], "left").where("kept is null or trim(kept) <> ''")
-    changed = F.col("row").withField("text", F.col("kept")).withField("n_chars", F.length("kept").cast("bigint"))
+    changed = F.col("row").withField("text", F.col("kept"))
+    if "n_chars" in docs.columns:
+        changed = changed.withField("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))
     return out.select(F.when(F.col("kept").isNull(), F.col("row")).otherwise(changed).alias("row")).select("row.*")
 
 
