@@ -59,7 +59,8 @@ def test_against_every_pair(spark):
     want = brute(rows)
     assert any(r[2] > 2 for r in want)
     assert found(df) == want
-    assert found(df, block=300) == want  # components cut into many blocks
+    assert found(df, block=300) == want  # runs cut into many blocks
+    assert found(df, block_rows=2) == want
 
 
 def test_depth():
@@ -67,6 +68,54 @@ def test_depth():
     assert j.prefix_depth(recall=1.0) == 1
 
 
+def test_prefixes_are_shortened_until_the_recall_suffices(spark, monkeypatch):
+    """With a lenient target whole signatures do; with a strict one more links are found, at the estimate's word."""
+    rng = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(900)]
+    rows = []
+    for _ in range(150):
+        base = rng.choices(vocabulary, k=60)
+        rows.append(" ".join(base))
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(60)] = rng.choice(vocabulary)
+            rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sum(r[2] for r in brute(rows))
+    monkeypatch.setattr(j, "SURE", 10)
+    few = sum(r[2] for r in found(df, trees=3, recall=0.2))
+    many = sum(r[2] for r in found(df, trees=3, recall=0.9))
+    assert few < many <= want and many >= 0.8 * want
+    assert sum(r[2] for r in found(df)) >= 0.999 * want > 600
+
+
+def test_forest_against_grouping(spark):
+    """Runs that go on over many ranges, one prefix holding most nodes."""
+    rng = random.Random(9)
+    rows = []
+    for node in range(400):
+        values = [7, 7, 7] if node % 3 else [rng.randrange(3) for _ in range(3)]
+        rows.append((node, b"".join(x.to_bytes(2, "little") for x in [*values, *(rng.randrange(2) for _ in range(3))])))
+    df = spark.createDataFrame(rows, "node bigint, signature binary")
+    for parts in ("1", "3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = j.forest(df.repartition(5), 2, 3, 2).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        for d in (2, 3):
+            by_run, by_prefix = {}, {}
+            for r in got:
+                by_run.setdefault(r[f"run_{d}"], set()).add((r.tree, r.node))
+            for node, sig in rows:
+                for tree in (0, 1):
+                    by_prefix.setdefault((tree, sig[6 * tree : 6 * tree + 2 * d]), set()).add((tree, node))
+            groups = lambda x: sorted(sorted(v) for v in x.values() if len(v) > 1)
+            assert groups(by_run) == groups(by_prefix)
+
+
 def test_odd_rows(spark, odd, repeated, none, odd_texts):
     assert found(odd) == brute(list(enumerate(odd_texts)))
     assert found(repeated) == brute([(r.doc_id, r.text) for r in repeated.select("doc_id", "text").collect()])
@@ -74,13 +123,18 @@ def test_odd_rows(spark, odd, repeated, none, odd_texts):
     kept = j.stage(spark, odd, "")
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in brute(list(enumerate(odd_texts))) if r[0] == r[1]}
+    # of one id a copy and a text of its own: the copy goes; rows without words or id stay
+    left = [(r.doc_id, (r.text or "")[:20]) for r in j.stage(spark, repeated, "").collect()]
+    text = {r.text[:20] for r in repeated.where("doc_id = 1").collect()}
+    assert sorted(x for i, x in left if i == 1) == sorted(text) and sum(i is None for i, _ in left) == 3
+    assert j.stage(spark, none, "").count() == 0
 
 
 def test_blocks_are_bounded_by_rows(spark):
-    sizes = spark.range(20_000).selectExpr("id as node", "cast(0 as bigint) as root", "id as first_id", "cast(10 as bigint) as size")
+    sizes = spark.range(20_000).selectExpr("id as node", "cast(0 as bigint) as run", "cast(10 as bigint) as n_shingles")
     counts = [r["count"] for r in j.in_blocks(sizes).groupBy("block").count().collect()]
-    assert sum(counts) == 20_000 and max(counts) < 1.2 * j.ROWS
+    assert sum(counts) == 20_000 and max(counts) < 1.3 * j.ROWS
     texts = [(k, f"one two three four five six seven eight nine ten eleven twelve {'x' * (k % 60 + 1)}") for k in range(120)]
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
-    whole = sorted(map(str, j.jaccard_links(docs).collect()))
-    assert sorted(map(str, j.jaccard_links(docs, block_rows=7).collect())) == whole and "n_links=59" in whole[0]
+    whole = found(docs)
+    assert found(docs, block_rows=7) == whole and whole[0][2] == 59
