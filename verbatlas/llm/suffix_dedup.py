@@ -5,11 +5,16 @@ windows have equal minimizers at equal places, so a window can repeat only where
 of windows with one minimizer is a segment. Segments whose minimizer occurs once are settled; equal segments
 count as one, whose windows all repeat. What is left is dealt out by minimizer into shards, and each shard's
 suffix array (by external induced sorting) tells the windows that share LENGTH bytes with a neighbour.
+
+A minimizer of more than SHARD bytes of different segments is hot. Its segments are parted by the place of the
+minimizer in the window, CONTEXT places at a time, and dealt out by the bytes that all windows of a part have in
+common, so they spread over shards. What still meets in one shard is sorted in files, whatever its size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbatlas.llm import common
-from verbatlas.llm.suffix_array import suffix_array
+from verbatlas.llm.suffix_array import SPILL, Scratch, blocks, suffix_array
 
 LENGTH = 400
 GRAM = 128
 PIECE = 1 << 22  # windows looked at together
 SHARD = 1_000_000  # bytes aimed at in a shard
+CONTEXT = 64  # places of a hot minimizer in its window that go together
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -98,59 +104,119 @@ def _segment_rows(length: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.slices(batches, "text"):
-        key, d1, d2, text = [], [], [], []
-        for data, wanted in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist()):
-            for w in wanted:
-                key.append(w["key"])
-                d1.append(w["d1"])
-                d2.append(w["d2"])
-                text.append(data[w["start"] : w["start"] + w["size"]])
-        yield pa.record_batch([pa.array(key, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(text, pa.binary())], ["key", "d1", "d2", "segment"])
-
-
-def repeated_windows(parts: list[bytes], length: int = LENGTH) -> np.ndarray:
-    """For the joined windows of all parts in order: does it also start elsewhere in them?"""
-    sizes = np.array([len(p) for p in parts])
-    text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int32) + 2
-    ends = np.cumsum(sizes + 1) - 1
-    text[ends] = 1
-    order, lcp = suffix_array(np.append(text, np.int32(0)), length)
-    deep = lcp >= length
-    hit = np.zeros(order.size, bool)
-    hit[order[deep]] = True
-    hit[order[np.flatnonzero(deep) - 1]] = True
-    starts = ends - sizes
-    windows = np.repeat(starts - np.cumsum(np.append(0, sizes[:-1] - length + 1)), sizes - length + 1) + np.arange((sizes - length + 1).sum())
-    return hit[windows]
-
-
-def _match(length: int):
-    """Rows come sorted by shard; (key, d1, d2, runs): the repeated windows of each segment as pairs of first and end."""
+def context_parts(segment: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, bytes]]:
+    """(key, first window, bytes) of the parts of a segment; equal windows of any two segments are in parts of one key."""
+    h = gram_hashes(np.frombuffer(segment, np.uint8), gram)[: length - gram + 1]
+    m = int(np.argmin((h & ~_LOW) | np.arange(h.size, dtype=np.uint64)))  # where the minimizer is
+    n = len(segment) - length + 1
+    for c in range((m - n + 1) // CONTEXT, m // CONTEXT + 1):
+        first, last = max(0, m - (c + 1) * CONTEXT + 1), min(n - 1, m - c * CONTEXT)
+        shared = segment[m - c * CONTEXT : m - (c + 1) * CONTEXT + 1 + length]
+        yield xxhash.xxh3_64_intdigest(shared, c) - 2**63, first, segment[first : last + length]
+
+
+def _cut(length: int):
+    names = ["key", "d1", "d2", "part", "shift", "segment"]
 
-    def found(rows: list[tuple]) -> pa.RecordBatch:
-        parts = [r[4] for r in rows]
-        hit = repeated_windows(parts, length)
-        runs, at = [], 0
-        for p in parts:
-            n = len(p) - length + 1
-            edge = np.flatnonzero(np.diff(hit[at : at + n].astype(np.int8), prepend=0, append=0))
-            runs.append(edge.astype("<i4").tobytes() if edge.size else None)
-            at += n
-        keep = [k for k, r in enumerate(runs) if r]
-        return pa.record_batch([*(pa.array([rows[k][c] for k in keep], pa.int64()) for c in (1, 2, 3)), pa.array([runs[k] for k in keep], pa.binary())], ["key", "d1", "d2", "runs"])
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+        for batch in common.slices(batches, "text"):
+            for data, wanted in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist()):
+                for w in wanted:
+                    segment = data[w["start"] : w["start"] + w["size"]]
+                    parts = context_parts(segment, length) if w["hot"] else [(0, 0, segment)]
+                    for key, first, part in parts:
+                        rows.append((w["key"], w["d1"], w["d2"], key, first, part))
+                        size += len(part)
+                    if size > 4 << 20:
+                        yield made(rows)
+                        rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    return run
+
+
+class Shard:
+    """Segments of one shard as files of the task's scratch folder: their symbols, and four numbers for each."""
+
+    def __init__(self, spill: int = SPILL):
+        self.scratch = Scratch(spill)
+        self.paths = [self.scratch.path("text"), self.scratch.path("segments")]
+        self.text, self.rows = (open(p, "wb") for p in self.paths)
+
+    def add(self, key: int, d1: int, d2: int, shift: int, segment: bytes) -> None:
+        self.text.write((np.frombuffer(segment, np.uint8).astype(np.uint16) + np.uint16(2)).tobytes() + b"\1\0")
+        self.rows.write(np.array([key, d1, d2, shift, len(segment)], np.int64).tobytes())
+
+    def _read(self, path: str, kind) -> np.ndarray:
+        small = os.path.getsize(path) <= self.scratch.spill * np.dtype(kind).itemsize
+        return np.fromfile(path, kind) if small else np.memmap(path, kind, "r")
+
+    def repeated(self, length: int) -> Iterator[tuple[tuple[int, int, int], bytes]]:
+        """(key, d1, d2) and the repeated windows, as pairs of first and end, of every segment that has some."""
+        self.text.write(b"\0\0")
+        self.text.close()
+        self.rows.close()
+        text, rows = self._read(self.paths[0], np.uint16), self._read(self.paths[1], np.int64).reshape(-1, 5)
+        order, lcp = suffix_array(text, length, self.scratch)
+        hit = self.scratch.zeros(text.size, bool)
+        for b, e in blocks(text.size):
+            deep = b + np.flatnonzero(lcp[b:e] >= length)
+            hit[order[deep]] = True
+            hit[order[deep - 1]] = True
+        at = 0
+        for key, d1, d2, shift, size in (r.tolist() for r in rows):
+            n = size - length + 1
+            edge = np.flatnonzero(np.diff(np.asarray(hit[at : at + n]).astype(np.int8), prepend=0, append=0))
+            if edge.size:
+                yield (key, d1, d2), (edge + shift).astype("<i4").tobytes()
+            at += size + 1
+
+    def close(self) -> None:
+        self.text.close()
+        self.rows.close()
+        self.scratch.__exit__()
+
+
+def _match(length: int, spill: int):
+    """Rows come sorted by shard; (key, d1, d2, runs): the repeated windows of each segment as pairs of first and end."""
+
+    def batches_of(found) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "d1", "d2", "segment"))):
-                if held and held[0][0] != row[0]:
-                    yield found(held)
-                    held = []
-                held.append(row)
+        for names, runs in found:
+            held.append((*names, runs))
+            if len(held) == 20_000:
+                yield batch_of(held)
+                held = []
         if held:
-            yield found(held)
+            yield batch_of(held)
+
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held), kinds)], ["key", "d1", "d2", "runs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard = None, None
+        try:
+            for batch in common.slices(batches, "segment"):
+                for n, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "d1", "d2", "shift", "segment"))):
+                    if n != number:
+                        if shard:
+                            yield from batches_of(shard.repeated(length))
+                            shard.close()
+                        number, shard = n, Shard(spill)
+                    shard.add(*row)
+            if shard:
+                yield from batches_of(shard.repeated(length))
+        finally:
+            if shard:
+                shard.close()
 
     return run
 
@@ -187,9 +253,11 @@ def _removed(length: int, with_text: bool):
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, shard: int = SHARD, spill: int = SPILL) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, with_text also kept, the bytes left.
 
+    shard: bytes aimed at in a shard; spill: symbols that a task holds in memory, the rest is in its files.
+
     Texts are UTF-8; null ones are empty. Matches never cross documents and are judged on the input. Rows
     that repeat are documents of their own and match each other; null ids are ids. Other columns are
     ignored; an empty table gives an empty result.
@@ -208,12 +276,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Dat
 
     whole = distinct.where("copies > 1").select("key", "d1", "d2", F.expr("cast(null as binary)").alias("runs"), F.lit(True).alias("whole"))
     open_ = distinct.where("several")
-    size = open_.agg(F.sum("at.size")).first()[0] or 0
-    shards = max(1, -(-size // SHARD))
-    wanted = open_.groupBy("at.row_key").agg(F.collect_list(F.struct("key", "d1", "d2", "at.start", "at.size")).alias("wanted"))
-    texts = keyed.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"]).select("text", "wanted").mapInArrow(_cut, "key bigint, d1 bigint, d2 bigint, segment binary")
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(max(common.n_partitions(spark), min(shards, 10_000)), "shard").sortWithinPartitions("shard")
-    some = common.stored(dealt.mapInArrow(_match(length), "key bigint, d1 bigint, d2 bigint, runs binary"), "matches")
+    by_key = common.stored(open_.groupBy("key").agg(F.sum("at.size").alias("bytes")), "open-keys")
+    total, hot_bytes = by_key.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("bytes") > shard, F.col("bytes"))), F.lit(0))).first()
+    grown = 1 + length // CONTEXT  # times the bytes, at most, of what is parted
+    shards = max(1, -(-(total + grown * hot_bytes) // shard))
+    hot = by_key.select("key", (F.col("bytes") > shard).alias("hot"))
+    wanted = open_.join(hot, "key").groupBy("at.row_key").agg(F.collect_list(F.struct("key", "d1", "d2", "at.start", "at.size", "hot")).alias("wanted"))
+    texts = keyed.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"]).select("text", "wanted").mapInArrow(_cut(length), "key bigint, d1 bigint, d2 bigint, part bigint, shift bigint, segment binary")
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("key", "part"), F.lit(shards))).repartition(max(common.n_partitions(spark), min(shards, 10_000)), "shard").sortWithinPartitions("shard")
+    some = common.stored(dealt.mapInArrow(_match(length, spill), "key bigint, d1 bigint, d2 bigint, runs binary"), "matches")
     partial = some.join(distinct.where("copies = 1").select("key", "d1", "d2"), ["key", "d1", "d2"], "left_semi").withColumn("whole", F.lit(False))
     marks = whole.unionByName(partial)
     windows = met.join(marks, ["key", "d1", "d2"]).select("row_key", "start", F.when(F.col("whole"), _le_pair(F.col("size") - length + 1)).otherwise(F.col("runs")).alias("runs"))
