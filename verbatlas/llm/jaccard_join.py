@@ -36,9 +36,10 @@ from verbatlas.llm.components import components
 WORDS = 5
 LEAST = 0.8
 RECALL = 0.9995
-TREES, DEPTH = 26, 8
+TREES, DEPTH = 20, 6
 BLOCK = 400_000  # shingles aimed at in a block
 ROWS = 1_000  # and nodes, as two blocks are compared in matrices of all their nodes
+NEAR = 1_000_000  # nodes (of 40 bytes) that are sent to all tasks; of more the texts are shuffled to them
 SURE = 1_000  # links that an estimate of the recall takes at least
 _PUNCTUATION = re.compile(r"[\W_]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -258,16 +259,15 @@ def runs_at(places: DataFrame, depth: int, deepest: int) -> DataFrame:
 def _texts_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = shared_words()
     for batch in common.slices(batches, "text", 1 << 20):
-        node, signature, sets, sizes = [], [], [], []
-        for text, n, h, sig in zip(*(batch.column(c).to_pylist() for c in ("text", "node", "words", "signature"))):
+        node, sets, sizes = [], [], []
+        for text, n, h in zip(*(batch.column(c).to_pylist() for c in ("text", "node", "words"))):
             value = word_hashes(text, words)
             if value.size and _node_hash(value) == h:  # else another row of that id
                 found = np.unique(shingles(value))
                 node.append(n)
-                signature.append(sig)
                 sizes.append(found.size)
                 sets.append(found.tobytes())
-        yield pa.record_batch([pa.array(node, pa.int64()), pa.array(signature, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], ["node", "signature", "n_shingles", "shingles"])
+        yield pa.record_batch([pa.array(node, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], ["node", "n_shingles", "shingles"])
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -390,9 +390,11 @@ def jaccard_links(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
     places = common.stored(forest(nodes.select("node", "signature"), trees, depth, floor), "places")
     several = places.groupBy(f"run_{floor}").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     met = places.join(several, f"run_{floor}", "left_semi").select("node").distinct()
-    wanted = nodes.join(met, "node", "left_semi").select(F.col("first_id").alias("doc_id"), "node", "words", "signature")
-    sets = texts.join(wanted, "doc_id").select("text", "node", "words", "signature").mapInArrow(_texts_shingles, "node bigint, signature binary, n_shingles bigint, shingles binary")
-    sets = common.stored(sets.dropDuplicates(["node"]), "sets")
+    wanted = common.stored(nodes.join(met, "node", "left_semi").select(F.col("first_id").alias("doc_id"), "node", "words"), "met")
+    wanted = F.broadcast(wanted) if wanted.count() <= NEAR else wanted
+    sets = texts.join(wanted, "doc_id").select("text", "node", "words").mapInArrow(_texts_shingles, "node bigint, n_shingles bigint, shingles binary")
+    sets = sets.dropDuplicates(["node"]).join(nodes.select("node", "signature"), "node")
+    sets = common.stored(sets, "sets")
 
     links = None
     for d in range(depth, floor - 1, -1):
