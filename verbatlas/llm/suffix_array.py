@@ -382,14 +382,27 @@ def _named(text, lms, is_s, rough, scratch: Scratch) -> tuple[np.ndarray, np.nda
     return order, names, name
 
 
-def _doubled(names: np.ndarray, limit: int) -> np.ndarray:
-    """The order of the suffixes of a text of names that fits in memory, as deep as limit names, by ranks of twice as many names each time."""
-    rank, depth = np.array(names), 1
-    while int(rank.max()) < rank.size and depth < limit:
-        pair = rank * (rank.size + 1) + np.append(rank[depth:], np.zeros(min(depth, rank.size), np.int64))
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64) + 1
+def _doubled(names: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """suffix_array() of a text of names that fits in memory, by ranks of twice as many names each time.
+
+    Two suffixes share as many names as the ranks that are equal stand for, the deepest first.
+    """
+    ranks, depth = [np.append(names, 0).astype(np.int32)], 1
+    while int(ranks[-1].max()) < names.size and depth < limit:
+        rank = ranks[-1][:-1].astype(np.int64)
+        pair = rank * (names.size + 1) + np.append(rank[depth:], np.zeros(min(depth, rank.size), np.int64))
+        ranks.append(np.append(np.unique(pair, return_inverse=True)[1] + 1, 0).astype(np.int32))
         depth *= 2
-    return np.argsort(rank, kind="stable")
+    order = np.argsort(ranks[-1][:-1], kind="stable")
+    shared = np.zeros(order.size, np.int64)
+    u, v = order[:-1].copy(), order[1:].copy()
+    for k in range(len(ranks) - 1, -1, -1):
+        same = (ranks[k][np.minimum(u, names.size)] == ranks[k][np.minimum(v, names.size)]) & (np.maximum(u, v) < names.size)
+        step = same.astype(np.int64) << k
+        shared[1:] += step
+        u += step
+        v += step
+    return order, shared
 
 
 def suffix_array(text: np.ndarray, limit: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
@@ -406,7 +419,7 @@ def suffix_array(text: np.ndarray, limit: int, scratch: Scratch) -> tuple[np.nda
     order, names, count = _named(text, lms, is_s, rough, scratch)
     shared = None
     if count < lms.size and lms.size <= scratch.spill:
-        order = _doubled(names, -(-limit // 2) + 1)
+        order, shared = _doubled(names, limit // 2 + 1)
     elif count < lms.size:
         deeper = scratch.zeros(lms.size + 1)
         for b, e in blocks(lms.size):
