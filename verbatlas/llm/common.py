@@ -53,17 +53,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd", level: int = 3) -> DataFrame:
-    """df as a table in the shared folder: it cuts lineage, and a lost executor costs no rework of it.
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/verbatlas/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, codec: str = "zstd", level: int = 3, path: str | None = None) -> DataFrame:
+    """df as a table in the shared folder (or at path): it cuts lineage, and a lost executor costs no rework of it.
 
     level is that of zstd.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/verbatlas/{name}-{uuid.uuid4().hex}"
+    path = path or new_path(spark, name)
     df.write.option("compression", codec).option("parquet.compression.codec.zstd.level", level).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent_if_small(table: DataFrame, weight: Column | None = None, most: int = 4_000_000) -> DataFrame:
+    """A stored table, to be sent to all tasks if its rows (or their weights) sum up to most at most; else as it is,
+    for a join by shuffle. Weights are values of 8 bytes."""
+    total = table.agg(F.coalesce(F.sum(weight if weight is not None else F.lit(1)), F.lit(0))).first()[0]
+    return F.broadcast(table) if total <= most else table
+
+
 def drop_stored(spark: SparkSession) -> None:
     """Deletes every table that stored() has left in the shared folder."""
     jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/verbatlas"

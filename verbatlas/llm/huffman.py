@@ -4,7 +4,8 @@ The file format is a table of blocks, written by Spark's Parquet writer so that
 protocol works. A block holds whole documents in order: their ids, their token counts, one bit string, and
 the bit offset of every STEP-th token. A block can be read alone, and all its checkpointed runs decode side
 by side, one table lookup a token. Code lengths come from global counts; the code book (id, length) is a
-second table, and its canonical codes follow from it.
+second table beside the blocks, and its canonical codes follow from it. Both are all that reading takes:
+open() does it from the path alone.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.llm import common
 
 LIMIT = 18  # bits of the longest code
 STEP = 256  # tokens between checkpoints
+CHUNK = 1 << 15  # tokens encoded at once, a multiple of STEP
 BLOCK = 1 << 20  # tokens of a block, more if one document has more
 END = 1
 
@@ -33,17 +36,22 @@ END = 1
 #: tokenizer sees its words, which then equals encoding it whole: NFC changes nothing, lower case works
 #: letter by letter, and no token spans white space.
 _PLAIN = re.compile(r"[^\t\n\r -~¡-Ĭı-ɏ]")
-_WORD = re.compile(r"[^\W\d_]+")
+#: Of words, one a line: letters in front (a group of their own for the tokenizer) and what follows, or a word
+#: that is encoded whole. Quotes can join letters, < can begin a special token, and ² is in no simple class.
+_PARTS = re.compile(r"^(?:([^\W\d_²³¹¼½¾]+)([^'<²³¹¼½¾\n]*)|(.+))$", re.M)
+NARROW = 1 << 16  # ids below it take two bytes
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit integers, by the tokenizers library.
+    """Texts to ids, by the tokenizers library.
 
-    Where the vocabulary allows it (by_word), plain texts are looked up word by word; words met for the first
-    time are encoded together, many to a call, and told apart by the ids that end a word.
+    Where the vocabulary allows it (by_word), plain texts are cut into words by Arrow, each different word of a
+    batch is looked up once, and all words' ids are gathered from one pool. Words met for the first time are
+    encoded together, many to a call, and told apart by the ids that end a word.
     """
 
-    MOST = 1_200_000  # words kept; then it starts anew, it only spares work
+    MOST = 800_000  # words kept; beyond it those met in one batch only go. It only spares work
+    LONGEST = 60  # characters of a word that is kept
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,71 +66,156 @@ class Encoder:
         if self.by_word:
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        letters, split = set(), []
-        for w in words:
-            m = _WORD.match(w)
-            head = m[0] if m and "'" not in w and "<" not in w else ""  # the letters in front are a group of their own
-            if head.isalpha():
-                if head not in self.known:
-                    letters.add(head)
-                if len(head) < len(w):
-                    split.append((w, head, w[len(head) :]))
-            else:
-                self.known[w] = self.whole(w)
-        ordered = list(letters)
-        for at in range(0, len(ordered), 4000):
-            part = ordered[at : at + 4000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        self._anew()
+
+    def _anew(self) -> None:
+        self.known: dict[str, int] = {"": 0}  # the place of a word in start and size
+        self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
+        self.start, self.size, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """ids: those of all words in sequence."""
+        at = len(self.known)
+        while self.used + ids.size > self.pool.size:
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while at + len(words) > self.start.size:
+            self.start, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.met))
+        self.pool[self.used : self.used + ids.size] = ids
+        ends = self.used + np.cumsum(sizes)
+        self.start[at : at + len(words)], self.size[at : at + len(words)] = ends - sizes, sizes
+        self.met[at : at + len(words)] = 0
+        self.known.update(zip(words, range(at, at + len(words))))
+        self.used += ids.size
+
+    def _keep_rows(self, words: list[str], rows: list[np.ndarray]) -> None:
+        if words:
+            self._keep(words, np.concatenate(rows), np.array([r.size for r in rows], np.int64))
+
+    def _gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at those places in sequence, and where each one's end."""
+        size = self.size[place]
+        ends = np.cumsum(size)
+        return self.pool[np.repeat(self.start[place] - ends + size, size) + np.arange(ends[-1] if ends.size else 0)], ends
+
+    def _thin(self) -> None:
+        """Lets words go that few batches have held, more than half of the room at least."""
+        met = self.met[: len(self.known)]
+        least = 2
+        while (met >= least).sum() > self.MOST // 2:
+            least *= 2
+        words = [w for w, k in zip(self.known, (met >= least).tolist()) if k and w]
+        place = np.array([self.known[w] for w in words], np.int64)
+        ids, ends = self._gather(place)
+        met = met[place]
+        self._anew()
+        self._keep(words, ids, np.diff(ends, prepend=0))
+        self.met[1 : len(words) + 1] = met
+
+    def _learn(self, words: list[str]) -> None:
+        parts = _PARTS.findall("\n".join(words))
+        letters = list({h for h, _, _ in parts} - self.known.keys())
+        for at in range(0, len(letters), 4000):
+            part = letters[at : at + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
             if last.size == len(part):
-                data, cuts = ids.tobytes(), [0, *(last * 4).tolist()]
-                self.known.update((w, data[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
+                self._keep(part, ids, np.diff(last, prepend=0))
             else:
-                self.known.update((w, self.whole(w)) for w in part)
-        tails = {t: self.whole(t) for t in {t for _, _, t in split}}
-        self.known.update((w, self.known[h] + tails[t]) for w, h, t in split)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        rows = [t.lower().split() if self.by_word and not _PLAIN.search(t) and not any(s in t for s in self.special) else None for t in texts]
-        words = set().union(*(r for r in rows if r))
-        new = words - self.known.keys()
-        if new:
-            if len(self.known) + len(new) > self.MOST:  # what is at hand must be known together
-                self.known.clear()
-                new = words
-            self._learn(new)
-        known = self.known
-        return [self.whole(t) if r is None else b"".join([known[w] for w in r]) for t, r in zip(texts, rows)]
+                self._keep_rows(part, [self.whole(w) for w in part])
+        odd = [o for _, _, o in parts if o]
+        self._keep_rows(odd, [self.whole(w) for w in odd])
+        tails = list({t for _, t, _ in parts} - {""})
+        tails = [t for t in tails if "\n" + t not in self.known]  # no word begins with a line end
+        self._keep_rows(["\n" + t for t in tails], [self.whole(t) for t in tails])
+        split = [(w, h, "\n" + t) for w, (h, t, _) in zip(words, parts) if t]
+        ids, ends = self._gather(np.array([self.known[x] for _, *both in split for x in both], np.int64))
+        self._keep([w for w, _, _ in split], ids, np.diff(ends[1::2], prepend=0))
+
+    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts in sequence, and how many each has."""
+        rows = pc.ascii_split_whitespace(pc.utf8_lower(texts))  # plain texts have no other white space
+        counts = pc.list_value_length(rows).to_numpy(zero_copy_only=False)
+        coded = rows.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = list(map(self.known.get, words))
+        missing = [k for k, x in enumerate(found) if x is None] if None in found else []
+        if missing:
+            if len(self.known) + len(missing) > self.MOST:
+                self._thin()
+                found = list(map(self.known.get, words))  # what is at hand must be known together
+                missing = [k for k, x in enumerate(found) if x is None]
+            self._learn([words[k] for k in missing if len(words[k]) <= self.LONGEST])
+            used, long = self.used, [words[k] for k in missing if len(words[k]) > self.LONGEST]
+            self._keep_rows(long, [self.whole(w) for w in long])
+            for k in missing:
+                found[k] = self.known[words[k]]
+            for w in long:  # their ids stay in the pool until the next words come
+                del self.known[w]
+            self.used = used
+        place = np.array(found, np.int64)
+        self.met[place] += 1
+        place = place[coded.indices.to_numpy()]
+        ids, ends = self._gather(place)
+        return ids, np.diff(np.append(0, ends)[np.append(0, np.cumsum(counts))])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls) in sequence, and how many each has."""
+        plain = np.zeros(len(texts), bool)
+        if self.by_word:
+            strange = pc.match_substring_regex(texts, _PLAIN.pattern)
+            for special in self.special:
+                strange = pc.or_(strange, pc.match_substring(texts, special))
+            plain = ~strange.to_numpy(zero_copy_only=False)
+        if plain.all():
+            return self._by_word(texts)
+        found, counts = self._by_word(texts.filter(pa.array(plain)))
+        rows = iter(np.split(found, np.cumsum(counts)[:-1]) if counts.size else [])
+        rows = [next(rows) if p else self.whole(t) for t, p in zip(texts.to_pylist(), plain)]
+        return np.concatenate(rows), np.array([r.size for r in rows], np.int64)
 
 
 def encoder(path: str) -> Encoder:
     return common.kept("huffman", path, lambda: Encoder(path))
 
 
+def packed(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary value for each document: two bytes an id, or four behind one byte (an odd number of bytes)."""
+    ends = np.cumsum(counts)
+    if not ids.size or ids.max() < NARROW:
+        if 2 * ids.size < 1 << 31:
+            offsets = np.append(0, 2 * ends).astype(np.int32)
+            return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
+        return pa.array([ids[e - n : e].astype("<u2").tobytes() for e, n in zip(ends, counts)], pa.binary())
+    rows = (ids[e - n : e] for e, n in zip(ends, counts))
+    return pa.array([r.astype("<u2").tobytes() if r.size and r.max() < NARROW else b"\0" + r.astype("<u4").tobytes() for r in rows], pa.binary())
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of packed() values: all ids in sequence (uint32), and how many each has."""
+    column = column if column.offset == 0 else pa.concat_arrays([column])
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not (size % 2).any():
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        begin = int(np.frombuffer(column.buffers()[1], np.int32, 1)[0]) if len(column) else 0
+        return data[begin : begin + int(size.sum())].view("<u2").astype(np.uint32), size // 2
+    rows = [np.frombuffer(x, "<u4", offset=1) if len(x) % 2 else np.frombuffer(x, "<u2").astype(np.uint32) for x in column.to_pylist()]
+    return np.concatenate(rows).astype(np.uint32), np.array([r.size for r in rows], np.int64)
+
+
 def _tokenize(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(path), np.array([end], "<u4").tobytes()
-        for batch in common.slices(batches, "text"):
-            ids = []
-            for data in encode(batch.column("text").to_pylist()):
-                a = np.frombuffer(data + last, "<u4")
-                ids.append(a.astype("<u2").tobytes() if a.max() < 65536 else b"\0" + a.tobytes())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        encode = encoder(path)
+        for batch in common.slices(batches, "text", 8 << 20):
+            ids, counts = encode(batch.column("text"))
+            ids = np.insert(ids, np.cumsum(counts), end)
+            yield pa.record_batch([batch.column("doc_id"), packed(ids, counts + 1)], ["doc_id", "ids"])
 
     return run
 
 
-def _ids(data: bytes) -> np.ndarray:
-    """Of one document: two bytes an id, or four behind one byte (an odd number of bytes)."""
-    return np.frombuffer(data, "<u4", offset=1) if len(data) % 2 else np.frombuffer(data, "<u2")
-
-
 def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """(doc_id, ids): of every whole text, end behind it. Null texts are empty and hold the end alone."""
     common.ship(docs.sparkSession)
@@ -172,40 +265,45 @@ class Code:
         ends = np.cumsum(steps)
         self.codes = np.zeros(lengths.size, np.int64)
         self.codes[order] = (ends - steps) >> (self.limit - sizes)
-        self.table = np.zeros(1 << self.limit, np.int64)
+        self.table = np.zeros(1 << self.limit, np.uint32)
         if order.size:
-            self.table[: ends[-1]] = np.repeat(order << 6 | sizes, steps)
+            if int(order.max()) >= 1 << 26:
+                raise ValueError("an id of more than 26 bits")
+            self.table[: ends[-1]] = np.repeat((order << 6 | sizes).astype(np.uint32), steps)
+        self.short = self.lengths.astype(np.uint8)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bit string (padded to whole bytes) and the bit offset of every STEP-th id."""
-        size = self.lengths[ids]
-        if ids.size and not size.all():
+        sizes = self.short[ids]
+        if ids.size and not sizes.all():
             raise ValueError("an id is not in the code book")
-        end = np.cumsum(size)
-        start = end - size
-        total = int(end[-1]) if ids.size else 0
+        total = int(sizes.sum(dtype=np.int64))
         words = np.zeros(total // 32 + 2, np.uint64)
-        shift = 64 - (start & 31) - size
-        value = self.codes[ids].astype(np.uint64) << shift.astype(np.uint64)
-        at = start >> 5
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        if ids.size:
+        points, base = [np.empty(0, np.int64)], 0
+        for b in range(0, ids.size, CHUNK):  # what is at work stays in the processor's cache
+            size = sizes[b : b + CHUNK].astype(np.int64)
+            start = base + np.cumsum(size) - size
+            base = int(start[-1] + size[-1])
+            value = self.codes[ids[b : b + CHUNK]].astype(np.uint64) << (64 - (start & 31) - size).astype(np.uint64)
+            at = start >> 5
+            first = np.flatnonzero(np.diff(at, prepend=-1))
             joined = np.bitwise_or.reduceat(value, first)
             words[at[first]] |= joined >> np.uint64(32)
             words[at[first] + 1] |= joined & np.uint64(0xFFFFFFFF)
-        return words.astype(">u4").tobytes()[: (total + 7) // 8], start[::STEP]
+            points.append(start[::STEP])
+        return words.astype(">u4").tobytes()[: (total + 7) // 8], np.concatenate(points)
 
     def decode(self, data: bytes, checkpoints: np.ndarray, count: int) -> np.ndarray:
         """count ids; the runs behind all checkpoints are read in step."""
-        raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.int64)
+        raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint32)
         window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
         out = np.zeros((STEP, checkpoints.size), np.uint32)
         at, last = checkpoints.astype(np.int64), window.size - 1
-        mask, down = (1 << self.limit) - 1, 32 - self.limit
+        mask, down = np.uint32((1 << self.limit) - 1), 32 - self.limit
         for k in range(min(STEP, count)):
-            found = self.table[(window[np.minimum(at >> 3, last)] >> (down - (at & 7))) & mask]
-            out[k] = found >> 6
-            at = at + (found & 63)
+            found = self.table[(window[np.minimum(at >> 3, last)] >> (down - (at & 7)).astype(np.uint32)) & mask]
+            out[k] = found >> np.uint32(6)
+            at += found & np.uint32(63)
         return out.T.reshape(-1)[:count]
 
 
@@ -217,11 +315,10 @@ BLOCKS = "part int, block long, start_in_part long, n_tokens long, doc_ids binar
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1, np.int64)
     for batch in batches:
-        for data in batch.column("ids").to_pylist():
-            n = np.bincount(_ids(data))
-            if n.size > total.size:
-                total = np.concatenate([total, np.zeros(n.size - total.size, np.int64)])
-            total[: n.size] += n
+        n = np.bincount(unpacked(batch.column("ids"))[0])
+        if n.size > total.size:
+            total = np.concatenate([total, np.zeros(n.size - total.size, np.int64)])
+        total[: n.size] += n
     at = np.flatnonzero(total)
     yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
@@ -235,49 +332,58 @@ def global_counts(tokens: DataFrame) -> np.ndarray:
     return counts
 
 
+def _block(code: Code, place: list[int], ids: np.ndarray, counts: np.ndarray, doc_ids: np.ndarray, none: np.ndarray) -> pa.RecordBatch:
+    bits, points = code.encode(ids)
+    row = [*place, ids.size, doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), points.astype("<u4").tobytes(), bits, np.packbits(none).tobytes()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+    return pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds)], [x.split()[0] for x in BLOCKS.split(", ")])
+
+
 def _encode(lengths_sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = Code(lengths_sent.value), TaskContext.get().partitionId()
         held, size, block, start = [], 0, 0, 0
-
-        def made():
-            ids = np.concatenate([_ids(d).astype(np.int64) for _, d in held])
-            bits, points = code.encode(ids)
-            sizes = np.array([_ids(d).size for _, d in held], "<u4").tobytes()
-            docs = np.array([i or 0 for i, _ in held], "<i8").tobytes()
-            none = np.packbits([i is None for i, _ in held]).tobytes()
-            row = [part, block, start, ids.size, docs, sizes, points.astype("<u4").tobytes(), bits, none]
-            return ids.size, pa.record_batch([pa.array([x], k) for x, k in zip(row, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5])], [x.split()[0] for x in BLOCKS.split(", ")])
-
-        for batch in batches:
-            for i, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                held.append((i, data))
-                size += _ids(data).size
-                if size >= BLOCK:
-                    n, out = made()
-                    yield out
-                    held, size, block, start = [], 0, block + 1, start + n
+        for batch in common.slices(batches, "ids"):
+            ids, counts = unpacked(batch.column("ids"))
+            column = batch.column("doc_id")
+            held.append((ids, counts, column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)))
+            size += ids.size
+            if size >= BLOCK:
+                yield _block(code, [part, block, start], *map(np.concatenate, zip(*held)))
+                held, size, block, start = [], 0, block + 1, start + size
         if held:
-            yield made()[1]
+            yield _block(code, [part, block, start], *map(np.concatenate, zip(*held)))
 
     return run
 
 
 class TokenFile:
-    """Encoded documents: blocks (part and block in ascending doc_id order) and the code book's lengths."""
+    """Encoded documents at a path: blocks (part and block in ascending doc_id order) and the code book."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
 
-    def __init__(self, blocks: DataFrame, lengths: np.ndarray):
-        self.blocks, self.lengths = blocks, lengths
+    @property
+    def blocks(self) -> DataFrame:
+        return self.spark.read.schema(BLOCKS).parquet(f"{self.path}/blocks")
+
+    def lengths(self) -> np.ndarray:
+        """Code lengths by id, from the stored book; as many as the vocabulary has ids at most."""
+        book = self.spark.read.schema("id long, length int").parquet(f"{self.path}/book").toArrow()
+        ids = book["id"].to_numpy()
+        out = np.zeros(int(ids.max()) + 1 if ids.size else 1, np.int64)
+        out[ids] = book["length"].to_numpy()
+        return out
 
     def documents(self, with_ids: bool = False) -> DataFrame:
-        """doc_id, start, n_tokens, ids_crc32 (and ids, four bytes each) of every document, read from the blocks."""
-        spark = self.blocks.sparkSession
+        """doc_id, start, n_tokens, ids_crc32 (and ids, four bytes each) of every document, read from the files."""
+        spark, blocks = self.spark, self.blocks
         common.ship(spark)
-        sums = {r.part: r.n for r in self.blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each part
+        sums = {r.part: r.n for r in blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each part
         base, total = {}, 0
         for part in sorted(sums):
             base[part], total = total, total + sums[part]
-        sent = spark.sparkContext.broadcast((base, self.lengths))
+        sent = spark.sparkContext.broadcast((base, self.lengths()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base, code = sent.value[0], Code(sent.value[1])
@@ -291,22 +397,30 @@ class TokenFile:
                     cols = [pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64(), mask=none), pa.array(base[row["part"]] + row["start_in_part"] + ends - sizes), pa.array(sizes), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
                     yield pa.record_batch(cols + [pa.array(parts, pa.binary())] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
 
-        return self.blocks.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
+        return blocks.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
+
+
+def open_file(spark: SparkSession, path: str) -> TokenFile:
+    """What write() has left at a path; nothing else is needed to read it."""
+    return TokenFile(spark, path)
 
 
-def write(tokens: DataFrame, limit: int = LIMIT) -> TokenFile:
+def write(tokens: DataFrame, limit: int = LIMIT, path: str | None = None) -> TokenFile:
     """Writes the ids of (doc_id, ids) in ascending doc_id order (null ids first, equal ids by content).
 
-    tokens is read more than once, so it should be a stored table. Empty tables give a file without blocks.
+    Without a path a new one in the shared folder is taken. tokens is read more than once, so it should be a
+    stored table. Empty tables give a file without blocks.
     """
     spark = tokens.sparkSession
     common.ship(spark)
+    path = path or common.new_path(spark, "token-file")
     lengths = code_lengths(global_counts(tokens), limit)
     sent = spark.sparkContext.broadcast(lengths)  # as long as the vocabulary
     dealt = tokens.repartitionByRange(common.n_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
-    book = spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id bigint, length int")
-    common.stored(book, "code-book")
-    return TokenFile(common.stored(dealt.mapInArrow(_encode(sent), BLOCKS), "token-blocks", "uncompressed"), lengths)
+    book = spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id long, length int")
+    book.coalesce(1).write.parquet(f"{path}/book")
+    dealt.mapInArrow(_encode(sent), BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    return open_file(spark, path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -314,4 +428,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     docs = common.read(spark, sf_dir, "documents")
     tokens = common.stored(tokenize(docs, public_tokenizers.path("word_bpe_49k.json")), "token-ids")
-    return write(tokens).documents()
+    return open_file(spark, write(tokens).path).documents()
