@@ -80,13 +80,19 @@ def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prior(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _rows_with(sets: list[np.ndarray]) -> np.ndarray:
+    """In how many sets each slot stands, some sets at a time."""
+    out = np.zeros(1 << BITS, np.int64)
+    for b in range(0, len(sets), 500):
+        out += np.bincount(np.concatenate(sets[b : b + 500]), minlength=out.size)
+    return out
+
+
+def _prior(sets: list[np.ndarray], labels: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of each learnt word, shrunk to 0 the less they stand out from chance; does it stand out at all?"""
     if not len(sets):
         return np.zeros(learnt.size), np.zeros(learnt.size, bool)
-    size = [s.size for s in sets]
-    words = np.concatenate(sets)
-    rows = [np.bincount(words, np.repeat(labels == t, size), 1 << BITS)[learnt] for t in (1, 0)]
+    rows = [_rows_with([s for s, label in zip(sets, labels) if label == t])[learnt] for t in (1, 0)]
     n = [max(1, int((labels == t).sum())) for t in (1, 0)]
     share = [(r + 0.5) / (m + 1) for r, m in zip(rows, n)]
     odds = np.log(share[0] / (1 - share[0])) - np.log(share[1] / (1 - share[1]))
@@ -102,12 +108,11 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds:
     """Adagrad over minibatches; without rows, or with one label only, the bias alone tells the share."""
     share = float(np.clip((labels * weights).sum() / max(weights.sum(), 1e-9), 1e-3, 1 - 1e-3)) if len(sets) else 0.01
     bias = float(np.log(share / (1 - share)))
-    count = np.bincount(np.concatenate(sets), minlength=1 << BITS) if sets else np.zeros(1 << BITS, np.int64)
-    learnt = np.flatnonzero(count >= LEAST_ROWS)
+    learnt = np.flatnonzero(_rows_with(sets) >= LEAST_ROWS)
     row = np.full(1 << BITS, -1, np.int32)
     row[learnt] = np.arange(learnt.size)
     rng = np.random.default_rng(seed)
-    w, out = _prior(sets, labels, weights, learnt)
+    w, out = _prior(sets, labels, learnt)
     v = rng.normal(0, FACTOR_START, (learnt.size, FACTORS))
     prior, pull = w.copy(), np.where(out, FREE, PULL)
     model = Model(bias, row, w, v)
@@ -174,13 +179,13 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Model:
     sizes = sorted(map(tuple, sample.select("order", F.octet_length("slots")).collect()))  # two numbers a row
     within = np.cumsum([n for _, n in sizes]) <= MOST_BYTES
     last = max((o for (o, _), fits in zip(sizes, within) if fits), default=None)
-    rows = sample.where(F.col("order") <= last).collect() if last is not None else []
-    rows.sort(key=lambda r: (r.order, r.toxic, bytes(r.slots)))
-    y = np.array([r.toxic for r in rows], np.float64)
+    rows = sample.where(F.col("order") <= last).toArrow() if last is not None else None
+    rows = sorted(zip(*(rows[c].to_pylist() for c in ("order", "toxic", "slots")))) if rows is not None else []
+    y = np.array([toxic for _, toxic, _ in rows], np.float64)
     seen = {t: max(1, int((y == t).sum())) for t in (0, 1)}
     everything = max(1, sum(totals.values()))
     weights = np.array([totals.get(int(t), 0) / seen[int(t)] for t in y]) * (len(rows) / everything) if rows else np.empty(0)
-    return fit([np.frombuffer(r.slots, np.int32) for r in rows], y, weights)
+    return fit([np.frombuffer(s, np.int32) for _, _, s in rows], y, weights)
 
 
 def score_of(text: Column, model: Model, spark: SparkSession) -> Column:
