@@ -39,7 +39,7 @@ RECALL = 0.9995
 TREES, DEPTH = 20, 6
 BLOCK = 400_000  # shingles aimed at in a block
 ROWS = 1_000  # and nodes, as two blocks are compared in matrices of all their nodes
-NEAR = 1_000_000  # nodes (of 40 bytes) that are sent to all tasks; of more the texts are shuffled to them
+NEAR = 1_000_000  # rows of nodes or units (40 bytes each) that are sent to all tasks; more are met in a shuffle
 SURE = 1_000  # links that an estimate of the recall takes at least
 _PUNCTUATION = re.compile(r"[\W_]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -393,7 +393,7 @@ def jaccard_links(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
     wanted = common.stored(nodes.join(met, "node", "left_semi").select(F.col("first_id").alias("doc_id"), "node", "words"), "met")
     wanted = F.broadcast(wanted) if wanted.count() <= NEAR else wanted
     sets = texts.join(wanted, "doc_id").select("text", "node", "words").mapInArrow(_texts_shingles, "node bigint, n_shingles bigint, shingles binary")
-    sets = sets.dropDuplicates(["node"]).join(nodes.select("node", "signature"), "node")
+    sets = sets.dropDuplicates(["node"]).join(nodes.select("node", "signature").join(wanted.select("node"), "node"), "node")
     sets = common.stored(sets, "sets")
 
     links = None
@@ -402,6 +402,8 @@ def jaccard_links(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
         members = places.select("node", F.col(f"run_{d}").alias("run")).join(runs.select("run", "tree"), "run")
         placed = in_blocks(members.join(sets.select("node", "n_shingles"), "node"), block, block_rows)
         units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("run", "tree", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block")
+        units = common.stored(units, "units")
+        units = F.broadcast(units) if units.count() <= NEAR else units
         units = units.join(sets.select("node", "signature", "shingles"), "node")
         compare, schema = _compare(trees, d, depth, least)
         found = common.stored(units.repartition(common.n_partitions(spark), "run", "i", "j").sortWithinPartitions("run", "i", "j").mapInArrow(compare, schema), "links")
@@ -443,5 +445,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     hashed = texts.where("doc_id is not null").select("row", "text").mapInArrow(_with_words, "row bigint, words binary").where("words is not null")
     owned = common.stored(hashed.join(classes, "words").join(texts.select("row", "doc_id"), "row").select("row", "root", "doc_id"), "owned")
     stay = owned.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
-    gone = owned.select("row").join(stay, "row", "left_anti")
+    gone = common.sent_if_small(common.stored(owned.select("row").join(stay, "row", "left_anti"), "gone"))
     return numbered.join(gone, "row", "left_anti").select("doc.*")

@@ -96,6 +96,25 @@ def variants_type() -> str:
     return "array<struct<kind:int,a:bigint,b:bigint>>"
 
 
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(place, row_hash, drops): the numbers of the lines that go, of every row that loses some."""
+    lines = _lines(docs, min_chars)
+    near = near_lines(lines).withColumn("near", F.lit(True))
+    many = lines.groupBy("h1", "h2").agg(F.min(F.struct("place", "line_no")).alias("first"), F.count("*").alias("n"))
+    gone = many.join(near, ["h1", "h2"], "left").where("near or n > 1").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    hits = lines.select("place", "row_hash", "line_no", "h1", "h2").join(gone, ["h1", "h2"])
+    drops = hits.where((F.col("first.place") < F.col("place")) | ((F.col("first.place") == F.col("place")) & (F.col("first.line_no") < F.col("line_no"))) | F.col("near")).groupBy("place", "row_hash").agg(F.collect_set("line_no").alias("drops"))
+    return common.sent_if_small(common.stored(drops, "drops"), F.size("drops") + 3)  # then no text has to move
+
+
+def _split(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def _without(text: Column, drops: Column) -> Column:
+    return F.array_join(F.filter(_split(text), lambda _, i: ~F.array_contains(drops, i)), "\n")
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, place, row_hash, text, kept, n_lines, n_dropped) of every row; kept: the text of the lines that stay.
 
@@ -103,17 +122,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     doc_id share its place, so none of their lines of one number is earlier than another. Other columns are
     ignored; an empty table gives an empty result.
     """
-    lines = _lines(docs, min_chars)
-    near = near_lines(lines)
-    near = near.withColumn("near", F.lit(True))
-    many = lines.groupBy("h1", "h2").agg(F.min(F.struct("place", "line_no")).alias("first"), F.count("*").alias("n"))
-    gone = many.join(near, ["h1", "h2"], "left").where("near or n > 1").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    hits = lines.select("place", "row_hash", "line_no", "h1", "h2").join(gone, ["h1", "h2"])
-    drops = hits.where((F.col("first.place") < F.col("place")) | ((F.col("first.place") == F.col("place")) & (F.col("first.line_no") < F.col("line_no"))) | F.col("near")).groupBy("place", "row_hash").agg(F.collect_set("line_no").alias("drops"))
-    out = _rows(docs).join(drops, ["place", "row_hash"], "left")
-    split = F.split("text", "\n", -1)
-    kept = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains(F.col("drops"), i)), "\n"))
-    return out.select("doc_id", "place", "row_hash", "text", kept.alias("kept"), F.size(split).alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).alias("n_dropped"))
+    out = _rows(docs).join(dropped_lines(docs, min_chars), ["place", "row_hash"], "left")
+    kept = F.when(F.col("drops").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("drops")))
+    return out.select("doc_id", "place", "row_hash", "text", kept.alias("kept"), F.size(_split(F.col("text"))).alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).alias("n_dropped"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -122,9 +133,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with the text (and n_chars, where it has one) that stays; documents that lose all they had go."""
-    done = dedup_lines(docs).where("n_dropped > 0").select("place", "row_hash", "kept").dropDuplicates(["place", "row_hash"])
-    keyed = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("place"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"))
-    out = keyed.join(done, ["place", "row_hash"], "left").where("kept is null or trim(kept) <> ''")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("place"), F.xxhash64(text).alias("row_hash"))
+    joined = keyed.join(dropped_lines(docs), ["place", "row_hash"], "left")
+    kept = F.when(F.col("drops").isNotNull(), _without(F.col("row.text"), F.col("drops")))
+    out = joined.select("row", kept.alias("kept")).where("kept is null or trim(kept) <> ''")
     changed = F.col("row").withField("text", F.col("kept"))
     if "n_chars" in docs.columns:
         changed = changed.withField("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))
