@@ -8,6 +8,10 @@ from pyspark.sql.window import Window as W
 
 from verbatlas.config import IndexConfig
 from verbatlas.functions import text
+from verbatlas.tables import among
+
+#: Up to so many query tokens are looked up by filters on the stored tables, more by joins.
+FEW = 500
 
 
 def query_tokens(queries: DataFrame, config: IndexConfig) -> DataFrame:
@@ -17,40 +21,49 @@ def query_tokens(queries: DataFrame, config: IndexConfig) -> DataFrame:
     return out.where("token is not null")
 
 
-def completions(tokens: DataFrame, vocabulary: DataFrame, cap: int) -> DataFrame:
-    """(token, term, place): the first cap terms that go on from a token, in order of appearance."""
-    asked = tokens.select("token").distinct()
-    found = vocabulary.select("term", "first_seen", F.explode(text.prefixes(F.col("term"))).alias("token")).join(asked, "token")
+def completions(tokens: DataFrame, prefixes: DataFrame, cap: int, few: bool = False) -> DataFrame:
+    """(token, term, place): the first cap terms that go on from a token, in order of appearance.
+
+    prefixes: (prefix, term, first_seen)."""
+    found = among(prefixes, "prefix", tokens.select("token"), few).withColumnRenamed("prefix", "token")
     place = F.row_number().over(W.partitionBy("token").orderBy("first_seen", "term"))
     return found.withColumn("place", place).where(F.col("place") <= cap).select("token", "term", "place")
 
 
-def neighbours(tokens: DataFrame, vocabulary: DataFrame, cap: int, shortest: int = 4) -> DataFrame:
-    """(token, term, place): terms whose deletion neighbourhood meets a token's, by first key, then appearance."""
+def neighbours(tokens: DataFrame, deletions: DataFrame, cap: int, few: bool = False) -> DataFrame:
+    """(token, term, place): terms whose deletion neighbourhood meets a token's, by first key, then appearance.
+
+    deletions: (key, term, first_seen)."""
     asked = tokens.select("token").distinct().select("token", F.posexplode(text.deletion_keys(F.col("token"))).alias("key_pos", "key"))
-    long = vocabulary.where(F.length("term") >= shortest)
-    keys = long.select("term", "first_seen", F.explode(text.deletion_keys(F.col("term"))).alias("key"))
-    met = asked.join(keys, "key").where("term <> token").groupBy("token", "term", "first_seen").agg(F.min("key_pos").alias("key_pos"))
+    keys = among(deletions, "key", asked.select("key"), few)
+    met = keys.join(F.broadcast(asked) if few else asked, "key").where("term <> token")
+    met = met.groupBy("token", "term", "first_seen").agg(F.min("key_pos").alias("key_pos"))
     place = F.row_number().over(W.partitionBy("token").orderBy("key_pos", "first_seen", "term"))
     return met.withColumn("place", place).where(F.col("place") <= cap).select("token", "term", "place")
 
 
-def expansions(queries: DataFrame, vocabulary: DataFrame, config: IndexConfig) -> DataFrame:
-    """(query_id, n_tokens, group_id, rank, term): exact terms, then completions or fuzzy neighbours.
+def expansions(queries: DataFrame, vocabulary: DataFrame, prefixes: DataFrame, deletions: DataFrame, config: IndexConfig) -> tuple[DataFrame, bool]:
+    """(query_id, n_tokens, group_id, rank, term): exact terms, then completions or fuzzy neighbours; and whether
+    there were FEW tokens at most.
 
     One token: the term itself, its first completions, and only if there is neither, neighbours. Several: the
     term and neighbours for all but the last, the term and completions for the last.
     """
     asked = query_tokens(queries, config)
+    first = asked.limit(FEW + 1).collect()
+    few = len(first) <= FEW
+    if few:
+        asked = queries.sparkSession.createDataFrame(first, asked.schema).coalesce(1)
     names = ["query_id", "n_tokens", "group_id", "rank", "term"]
-    exact = asked.join(vocabulary.select(F.col("term").alias("token")), "token").withColumns({"rank": F.lit(0), "term": F.col("token")})
+    known = among(vocabulary.select("term"), "term", asked.select("token"), few)
+    exact = asked.join(known.select(F.col("term").alias("token")), "token").withColumns({"rank": F.lit(0), "term": F.col("token")})
     last = F.col("group_id") == F.col("n_tokens") - 1
     most = F.when(F.col("n_tokens") == 1, config.single_prefixes).otherwise(config.multi_prefixes)
     ending = asked.where(last)
-    longer = ending.join(completions(ending, vocabulary, max(config.single_prefixes, config.multi_prefixes)), "token").where(F.col("place") <= most).withColumn("rank", F.col("place"))
+    longer = ending.join(completions(ending, prefixes, max(config.single_prefixes, config.multi_prefixes), few), "token").where(F.col("place") <= most).withColumn("rank", F.col("place"))
     found = exact.select("token").unionByName(longer.select("token")).distinct()
     alone = asked.where("n_tokens = 1").join(found, "token", "left_anti")
     open_ = asked.where(~last).unionByName(alone)
     cap = F.when(F.col("n_tokens") == 1, config.single_fuzzy).otherwise(config.multi_fuzzy)
-    near = open_.join(neighbours(open_, vocabulary, max(config.single_fuzzy, config.multi_fuzzy), config.fuzzy_length), "token").where(F.col("place") <= cap).withColumn("rank", F.col("place"))
-    return exact.select(*names).unionByName(longer.select(*names)).unionByName(near.select(*names))
+    near = open_.join(neighbours(open_, deletions, max(config.single_fuzzy, config.multi_fuzzy), few), "token").where(F.col("place") <= cap).withColumn("rank", F.col("place"))
+    return exact.select(*names).unionByName(longer.select(*names)).unionByName(near.select(*names)), few

@@ -39,10 +39,10 @@ def terms(posted: DataFrame) -> DataFrame:
 
 
 def prefix_table(vocabulary: DataFrame, cap: int = 400) -> DataFrame:
-    """(prefix, term, rank): the first cap terms of every proper prefix in order of appearance."""
+    """(prefix, term, first_seen, rank): the first cap terms of every proper prefix in order of appearance."""
     pairs = vocabulary.select("term", "first_seen", F.explode(text.prefixes(F.col("term"))).alias("prefix"))
     rank = F.row_number().over(W.partitionBy("prefix").orderBy("first_seen", "term"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= cap).select("prefix", "term", "rank")
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= cap).select("prefix", "term", "first_seen", "rank")
 
 
 def deletion_table(vocabulary: DataFrame, shortest: int = 4) -> DataFrame:

@@ -11,50 +11,105 @@ from pyspark.sql.window import Window as W
 from verbatlas.config import IndexConfig
 from verbatlas.functions import text
 from verbatlas.operators import expand, filters, index, search
-from verbatlas.tables import numbered, stored
+from verbatlas.tables import Segments, among, local, numbered, stored
+
+#: Schema and sort key of each table. terms, prefixes and deletions are looked up by their first column.
+TABLES = {
+    "documents": ("internal_id bigint, external_id string, batch int", ("internal_id",)),
+    "ids": ("external_id string, internal_id bigint", ("external_id", "internal_id")),
+    "tombstones": ("internal_id bigint", ("internal_id",)),
+    "postings": ("term string, internal_id bigint, score bigint, arrival bigint", ("term", "internal_id")),
+    "terms": ("term string, first_seen bigint, doc_freq bigint", ("term",)),
+    "prefixes": ("prefix string, term string, first_seen bigint", ("prefix", "first_seen")),
+    "deletions": ("key string, term string, first_seen bigint", ("key", "term")),
+    "filters": ("field string, value string, internal_id bigint", ("field", "value", "internal_id")),
+}
+#: Batches up to so many rows find their older versions and known terms by filters on the stored tables.
+FEW_ROWS = 200
+#: Groups of query terms up to so many rows are sent to all tasks; beyond that the join shuffles.
+MOST_SENT = 1_000_000
 
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """documents: every stored version; tombstones: (internal_id) of dead ones; postings, vocabulary and
-    filter_values as in operators.index. Until vacuum() dead versions keep their terms in the vocabulary."""
+    """tables: the parts of every table in TABLES. Until vacuum() dead versions keep their terms in the vocabulary."""
 
     config: IndexConfig
-    documents: DataFrame
-    tombstones: DataFrame
-    postings: DataFrame
-    vocabulary: DataFrame
-    filter_values: DataFrame
+    tables: dict[str, Segments]
     next_id: int = 1
     batches: int = 0
 
+    @property
+    def documents(self) -> DataFrame:
+        """Every stored version."""
+        return self.tables["documents"].table
+
+    @property
+    def tombstones(self) -> DataFrame:
+        """(internal_id) of dead versions."""
+        return self.tables["tombstones"].table.distinct()
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.tables["postings"].table
+
+    @property
+    def vocabulary(self) -> DataFrame:
+        """(term, first_seen, doc_freq); a version counts in one batch only, so batches add up."""
+        return self.tables["terms"].table.groupBy("term").agg(F.min("first_seen").alias("first_seen"), F.sum("doc_freq").alias("doc_freq"))
+
+    @property
+    def filter_values(self) -> DataFrame:
+        return self.tables["filters"].table
+
     # --- making and changing ---
 
     @staticmethod
     def empty(spark: SparkSession, config: IndexConfig) -> SearchIndex:
-        none = lambda schema: spark.createDataFrame([], schema)
-        return SearchIndex(config, none("internal_id bigint, external_id string, batch int"), none("internal_id bigint"), none("term string, internal_id bigint, score bigint, arrival bigint"), none("term string, first_seen bigint, doc_freq bigint"), none("field string, value string, internal_id bigint"))
+        return SearchIndex(config, {n: Segments(n, by, spark.createDataFrame([], schema)) for n, (schema, by) in TABLES.items()})
 
     @staticmethod
     def build(docs: DataFrame, config: IndexConfig, id_column: str = "id", order: list | None = None) -> SearchIndex:
         return SearchIndex.empty(docs.sparkSession, config).add(docs, id_column, order)
 
+    @staticmethod
+    def restored(config: IndexConfig, documents: DataFrame, tombstones: DataFrame, next_id: int, batches: int) -> SearchIndex:
+        """An index of stored versions and tombstones, rebuilt from the live ones."""
+        bare = SearchIndex.empty(documents.sparkSession, config)._appended(documents=documents, ids=documents.select("external_id", "internal_id"), tombstones=tombstones)
+        return replace(bare, next_id=next_id, batches=batches).vacuum()
+
     def add(self, docs: DataFrame, id_column: str = "id", order: list | None = None, tokenless: bool = False) -> SearchIndex:
-        """A batch. Rows without an id (null, empty or "<nil>") are left out. order: of arrival, else the id's."""
+        """A batch. Rows without an id (null, empty or "<nil>") are left out. order: of arrival, else the id's.
+
+        What is written grows with the batch: each table gets a part, and parts of like size are merged.
+        """
         external = text.canonical(docs, id_column, self.config.go_float_format)
         if external is None:
             raise ValueError(f"{id_column} can't be an id")
         rows = docs.withColumn("external_id", external).where("external_id is not null and external_id not in ('', '<nil>')")
         rows = numbered(rows, order or ["external_id"], "internal_id").withColumn("internal_id", F.col("internal_id") + (self.next_id - 1)).withColumn("batch", F.lit(self.batches + 1))
-        rows = stored(rows, "documents")
+        rows = stored(rows, "batch")
         count = rows.count()
-        documents = self.documents.unionByName(rows, allowMissingColumns=True)
         targets = index.targets(rows, self.config)
-        new_filters = index.filter_table(targets, self.config, tokenless)
-        postings = self.postings.unionByName(index.postings(targets, self.config))
-        latest = F.max("internal_id").over(W.partitionBy("external_id"))
-        dead = documents.select("internal_id", latest.alias("last")).where("internal_id <> last").select("internal_id")
-        return self._with(documents, self.tombstones.unionByName(dead).distinct(), postings, self.filter_values.unionByName(new_filters).distinct(), self.next_id + count)
+        older = among(self.tables["ids"].table, "external_id", rows.select("external_id"), count <= FEW_ROWS).select("external_id", "internal_id")
+        versions = rows.select("external_id", "internal_id").unionByName(older)
+        last = F.max("internal_id").over(W.partitionBy("external_id"))
+        dead = versions.withColumn("last", last).where("internal_id <> last").select("internal_id")
+        found = self._appended(documents=rows, ids=rows.select("external_id", "internal_id"), tombstones=dead, filters=index.filter_table(targets, self.config, tokenless))
+        posted = stored(index.postings(targets, self.config), "posted")
+        return replace(found, next_id=self.next_id + count, batches=self.batches + 1)._posted(posted)
+
+    def _posted(self, posted: DataFrame) -> SearchIndex:
+        """With the postings of a batch; prefixes and deletions only of terms not seen before."""
+        terms = stored(index.terms(posted), "new-terms")
+        few = terms.count() <= FEW_ROWS
+        known = among(self.tables["terms"].table.select("term"), "term", terms.select("term"), few)
+        new = terms.join(known, "term", "left_anti")
+        prefixes = index.prefix_table(new, self.config.prefix_cap).drop("rank")
+        return self._appended(postings=posted, terms=terms, prefixes=prefixes, deletions=index.deletion_table(new, self.config.fuzzy_length))
+
+    def _appended(self, **rows: DataFrame) -> SearchIndex:
+        return replace(self, tables={**self.tables, **{n: self.tables[n].appended(df) for n, df in rows.items()}})
 
     def upsert(self, doc: DataFrame, id_column: str = "id") -> SearchIndex:
         """One document; an id that is missing or empty is an error here."""
@@ -64,14 +119,15 @@ class SearchIndex:
 
     def delete(self, external_id: str) -> tuple[SearchIndex, bool]:
         """Marks the last version of an id dead; False if the id was never stored."""
-        last = self.documents.where(F.col("external_id") == str(external_id)).agg(F.max("internal_id").alias("internal_id")).where("internal_id is not null") if external_id else None
-        if last is None or not last.take(1):
+        last = self.tables["ids"].table.where(F.col("external_id") == str(external_id)).agg(F.max("internal_id")).first()[0] if external_id else None
+        if last is None:
             return self, False
-        return replace(self, tombstones=stored(self.tombstones.unionByName(last).distinct(), "tombstones")), True
+        return self._appended(tombstones=self.documents.sparkSession.createDataFrame([(last,)], "internal_id bigint")), True
 
-    def _with(self, documents, tombstones, postings, filter_values, next_id) -> SearchIndex:
-        postings = stored(postings, "postings")
-        return SearchIndex(self.config, stored(documents, "documents"), stored(tombstones, "tombstones"), postings, stored(index.terms(postings), "terms"), stored(filter_values, "filters"), next_id, self.batches + 1)
+    def delete_many(self, external_ids: DataFrame) -> SearchIndex:
+        """Marks the last versions of all ids (external_id) dead; unknown ids are passed over."""
+        last = among(self.tables["ids"].table, "external_id", external_ids.select("external_id"), False).groupBy("external_id").agg(F.max("internal_id").alias("internal_id"))
+        return self._appended(tombstones=last.select("internal_id"))
 
     def live(self) -> DataFrame:
         return self.documents.join(self.tombstones, "internal_id", "left_anti")
@@ -79,25 +135,33 @@ class SearchIndex:
     def vacuum(self) -> SearchIndex:
         """Postings, vocabulary and filters of live versions alone, from their own texts; versions stay stored."""
         rows = self.live().withColumn("target", F.col("internal_id"))
-        return self._with(self.documents, self.tombstones, index.postings(rows, self.config), index.filter_table(rows, self.config), self.next_id)
+        bare = {n: replace(self.tables[n], parts=()) for n in ("postings", "terms", "prefixes", "deletions", "filters")}
+        found = replace(self, tables={**self.tables, **bare}, batches=self.batches + 1)
+        return found._appended(filters=index.filter_table(rows, self.config))._posted(stored(index.postings(rows, self.config), "posted"))
 
     def total_docs(self) -> int:
         """Stored versions, dead ones too."""
-        return self.documents.count()
+        return self.tables["documents"].rows
 
     # --- asking ---
 
     def prefixes(self) -> DataFrame:
-        return index.prefix_table(self.vocabulary, self.config.prefix_cap)
+        """(prefix, term, rank)"""
+        rank = F.row_number().over(W.partitionBy("prefix").orderBy("first_seen", "term"))
+        return self.tables["prefixes"].table.withColumn("rank", rank).where(F.col("rank") <= self.config.prefix_cap).select("prefix", "term", "rank")
 
     def deletions(self) -> DataFrame:
-        return index.deletion_table(self.vocabulary, self.config.fuzzy_length)
+        return self.tables["deletions"].table
 
     def apply_filter(self, wanted: dict[str, list]) -> DataFrame | None:
         return filters.allowed(self.filter_values, wanted) if wanted else None
 
-    def _visible(self, wanted: dict[str, list] | None) -> DataFrame:
-        out = self.postings.select("term", "internal_id", "score").join(self.tombstones, "internal_id", "left_anti")
+    def _visible(self, wanted: dict[str, list] | None, terms: list[str] | None = None) -> DataFrame:
+        """Postings in sight; terms, if given, are all that will be asked for and reach the scan."""
+        out = self.postings.select("term", "internal_id", "score")
+        if terms is not None:
+            out = out.where(F.col("term").isin(terms))
+        out = out.join(self.tables["tombstones"].table, "internal_id", "left_anti")
         passed = self.apply_filter(wanted or {})
         return out if passed is None else out.join(passed, "internal_id", "left_semi")
 
@@ -106,8 +170,14 @@ class SearchIndex:
         k = self.config.k if k is None else k
         if k < 0:
             raise ValueError("k is negative")
-        groups = expand.expansions(queries, self.vocabulary, self.config)
-        visible = self._visible(wanted)
+        groups, few = expand.expansions(queries, self.vocabulary, self.tables["prefixes"].table, self.tables["deletions"].table, self.config)
+        if few:
+            found = groups.collect()
+            groups, terms = F.broadcast(queries.sparkSession.createDataFrame(found, groups.schema)), sorted({r.term for r in found})
+        else:
+            groups, terms = stored(groups, "groups"), None
+            groups = F.broadcast(groups) if groups.count() <= MOST_SENT else groups
+        visible = self._visible(wanted, terms)
         one = search.ranked_union(groups.where("n_tokens = 1"), visible, k)
         many = search.all_groups(groups.where("n_tokens > 1").withColumnRenamed("n_tokens", "n_groups"), visible, k)
         return one.unionByName(many)
@@ -117,18 +187,19 @@ class SearchIndex:
         if not text.tokenize(query, self.config.stop_words):
             return None
         queries = self.documents.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
-        return self.materialized(self.search_many(queries, wanted)).drop("query_id").orderBy("rank")
+        return self.materialized(local(self.search_many(queries, wanted)), self.config.k <= FEW_ROWS).drop("query_id").orderBy("rank")
 
     def search_one_term(self, term: str, wanted: dict[str, list] | None = None) -> DataFrame:
-        return search.one_term(self._visible(wanted), term, self.config.k)
+        return search.one_term(self._visible(wanted, [term]), term, self.config.k)
 
     def search_groups(self, groups: list[list[str]], wanted: dict[str, list] | None = None) -> DataFrame:
         """(rank, internal_id, score) for explicit groups of terms; an empty group matches nothing."""
         spark = self.documents.sparkSession
         rows = [(0, len(groups), g, r, t) for g, ts in enumerate(groups) for r, t in enumerate(ts)]
-        asked = spark.createDataFrame(rows, "query_id int, n_groups int, group_id int, rank int, term string")
-        return search.all_groups(asked, self._visible(wanted), self.config.k).drop("query_id")
+        asked = F.broadcast(spark.createDataFrame(rows, "query_id int, n_groups int, group_id int, rank int, term string"))
+        return search.all_groups(asked, self._visible(wanted, sorted({r[4] for r in rows})), self.config.k).drop("query_id")
 
-    def materialized(self, hits: DataFrame) -> DataFrame:
-        """hits with the documents' columns, looked up for the k best of each query only."""
-        return hits.join(self.documents.drop("batch", "_at"), "internal_id")
+    def materialized(self, hits: DataFrame, few: bool = False) -> DataFrame:
+        """hits with the documents' columns, looked up for the k best of each query only; few: as in among()."""
+        docs = self.documents.drop("batch")
+        return hits.join(among(docs, "internal_id", hits.select("internal_id"), True) if few else docs, "internal_id")

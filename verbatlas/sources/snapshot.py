@@ -29,6 +29,4 @@ def load(spark: SparkSession, path: str) -> SearchIndex:
     """The saved index, rebuilt from its live versions alone."""
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     documents, tombstones = spark.read.parquet(f"{path}/versions"), spark.read.parquet(f"{path}/tombstones")
-    base = SearchIndex.empty(spark, IndexConfig(**meta["config"]))
-    found = SearchIndex(base.config, documents, tombstones, base.postings, base.vocabulary, base.filter_values, meta.get("next_id") or next_id(documents), meta.get("batches", 1))
-    return found.vacuum()
+    return SearchIndex.restored(IndexConfig(**meta["config"]), documents, tombstones, meta.get("next_id") or next_id(documents), meta.get("batches", 1))

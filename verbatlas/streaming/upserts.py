@@ -28,9 +28,7 @@ class LiveIndex:
         if upserts.take(1):
             index = index.add(upserts, order=["op_seq"])
         gone = ops.where("op = 'delete'").select(F.col("id").cast("string").alias("external_id"))
-        dead = index.documents.join(gone, "external_id", "left_semi").groupBy("external_id").agg(F.max("internal_id").alias("internal_id")).select("internal_id")
-        tombstones = stored(index.tombstones.unionByName(dead).distinct(), "tombstones")
-        self.index, self.done = SearchIndex(index.config, index.documents, tombstones, index.postings, index.vocabulary, index.filter_values, index.next_id, index.batches), epoch
+        self.index, self.done = index.delete_many(gone), epoch
 
     def follow(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

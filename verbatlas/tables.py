@@ -4,25 +4,88 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of sorted tables: small row groups, so that a filter on the sort key skips nearly all of them.
+ROW_GROUP = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share. One machine alone may make its own; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:  # tests and single machines
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="verbatlas-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/verbatlas/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def stored(df: DataFrame, name: str, by: Iterable[str] = ()) -> DataFrame:
+    """df as a table; by: its files are ranges of these columns, sorted, for filters on the first of them."""
+    path, writer = f"{shared_dir(df.sparkSession)}/verbatlas/{name}-{uuid.uuid4().hex}", df.write
+    if by:
+        writer = df.repartitionByRange(*by).sortWithinPartitions(*by).write.option("parquet.block.size", ROW_GROUP)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def among(table: DataFrame, column: str, keys: DataFrame, few: bool) -> DataFrame:
+    """table's rows whose column is in keys' first column; few: keys are of a checked number and go into the scan."""
+    if few:
+        return table.where(F.col(column).isin([r[0] for r in keys.collect()]))
+    return table.join(keys.toDF(column).distinct(), column, "left_semi")
+
+
+def local(df: DataFrame) -> DataFrame:
+    """df, of a checked size, computed once and sent to all tasks."""
+    return F.broadcast(df.sparkSession.createDataFrame(df.collect(), df.schema))
+
+
+@dataclass(frozen=True)
+class Segments:
+    """A table as stored parts, oldest first, each over twice the size of all after it; so there are few of them and
+    a row is rewritten a logarithmic number of times."""
+
+    name: str
+    by: tuple[str, ...]
+    empty: DataFrame
+    parts: tuple[tuple[int, DataFrame], ...] = ()
+
+    @property
+    def table(self) -> DataFrame:
+        return _union([p for _, p in self.parts]) if self.parts else self.empty
+
+    @property
+    def rows(self) -> int:
+        return sum(n for n, _ in self.parts)
+
+    def appended(self, rows: DataFrame) -> Segments:
+        part = stored(rows, self.name, self.by)
+        total = part.count()
+        if not total:
+            return self
+        at = len(self.parts)
+        while at and self.parts[at - 1][0] <= 2 * total:
+            at -= 1
+            total += self.parts[at][0]
+        if at < len(self.parts):
+            part = stored(_union([*(p for _, p in self.parts[at:]), part]), self.name, self.by)
+        return Segments(self.name, self.by, self.empty, (*self.parts[:at], (total, part)))
+
+    def replaced(self, rows: DataFrame) -> Segments:
+        return Segments(self.name, self.by, self.empty).appended(rows)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """df with name, 1, 2, ... in an order, by ranges of it rather than in one task."""
     spark = df.sparkSession
