@@ -70,6 +70,10 @@ def deletion_keys(term: Column) -> Column:
     return F.concat(F.array(term), deletions(term))
 
 
+def deletion_keys_of(term: str) -> list[str]:
+    return [term, *(term[:i] + term[i + 1 :] for i in range(len(term)) if len(term) > 1)]
+
+
 def _plain(number: Column) -> Column:
     whole = number == F.floor(number)
     return F.when(whole & (F.abs(number) < 1e37), number.cast("decimal(38,0)").cast("string")).otherwise(number.cast("string"))

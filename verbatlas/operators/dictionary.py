@@ -89,9 +89,9 @@ class DeletionDictionary:
         return DeletionDictionary(self.spark, [w for w in self.words if w != word])
 
     def fuzzy(self, query: str, most: int) -> list[str]:
-        from verbatlas.operators.expand import neighbours
+        from verbatlas.operators.expand import asked_keys, neighbours
         from verbatlas.operators.index import deletion_table
 
         vocabulary = self.spark.createDataFrame([(w, k) for k, w in enumerate(self.words)], "term string, first_seen bigint")
         asked = self.spark.createDataFrame([(query,)], "token string")
-        return [r.term for r in neighbours(asked, deletion_table(vocabulary, shortest=0), most).orderBy("place").collect()]
+        return [r.term for r in neighbours(asked_keys(asked), deletion_table(vocabulary, shortest=0), most).orderBy("place").collect()]

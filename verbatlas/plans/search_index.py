@@ -170,17 +170,23 @@ class SearchIndex:
         k = self.config.k if k is None else k
         if k < 0:
             raise ValueError("k is negative")
-        groups, few = expand.expansions(queries, self.vocabulary, self.tables["prefixes"].table, self.tables["deletions"].table, self.config)
-        if few:
-            found = groups.collect()
-            groups, terms = F.broadcast(queries.sparkSession.createDataFrame(found, groups.schema)), sorted({r.term for r in found})
-        else:
-            groups, terms = stored(groups, "groups"), None
-            groups = F.broadcast(groups) if groups.count() <= MOST_SENT else groups
-        visible = self._visible(wanted, terms)
+        lookup = (self.vocabulary, self.tables["prefixes"].table, self.tables["deletions"].table, self.config)
+        asked = expand.query_tokens(queries, self.config)
+        first = asked.limit(expand.FEW + 1).collect()
+        if len(first) > expand.FEW:
+            groups = stored(expand.expansions(asked, *lookup), "groups")
+            visible = self._visible(wanted)
+            return self._ranked(F.broadcast(groups) if groups.count() <= MOST_SENT else groups, visible, k)
+        found = expand.expansions_of_few(first, *lookup)
+        kinds = ", ".join([f"query_id {dict(asked.dtypes)['query_id']}", "n_tokens int, group_id int, rank int, term string"])
+        groups = F.broadcast(queries.sparkSession.createDataFrame(found, kinds))
+        return self._ranked(groups, self._visible(wanted, sorted({r[4] for r in found})), k, {r[1] == 1 for r in found})
+
+    def _ranked(self, groups: DataFrame, visible: DataFrame, k: int, kinds: set[bool] = frozenset()) -> DataFrame:
+        """kinds: whether there are groups of queries of one token (True), of more (False); both if not told."""
         one = search.ranked_union(groups.where("n_tokens = 1"), visible, k)
         many = search.all_groups(groups.where("n_tokens > 1").withColumnRenamed("n_tokens", "n_groups"), visible, k)
-        return one.unionByName(many)
+        return one.unionByName(many) if len(kinds) != 1 else one if kinds == {True} else many
 
     def search(self, query: str, wanted: dict[str, list] | None = None) -> DataFrame | None:
         """(rank, id, score, internal_id and the document's columns) by rank; None if the query has no tokens."""
