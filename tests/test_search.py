@@ -81,6 +81,73 @@ def test_dead_term_suppresses_fuzzy_until_vacuum(spark):
     assert ids(index.search("zebra")) == [] and ids(index.vacuum().search("zebra")) == ["2"]
 
 
+def test_few_and_many_tokens_are_looked_up_alike(spark, monkeypatch):
+    from verbatlas.operators import expand
+    from verbatlas.plans import search_index
+
+    rows = [("1", "apple phone case", "a"), ("2", "apples phones", "b"), ("3", "aple cases", "a"), ("4", "grape phone", "b")]
+    index = build(spark, rows, "id string, title string, genre string", SONGS).upsert(spark.createDataFrame([("3", "applet phone", "a")], "id string, title string, genre string"))
+    asked = spark.createDataFrame(list(enumerate(["apple", "appl", "aplle", "apple pho", "aple phne", "the", "case cas", "zz apple", "phone phone"])), "query_id long, text string")
+    shown = lambda: sorted(map(tuple, index.search_many(asked).collect()))
+    few = shown()
+    monkeypatch.setattr(expand, "FEW", 0)
+    assert few and shown() == few
+    monkeypatch.setattr(search_index, "MOST_SENT", 0)
+    assert shown() == few
+
+
+def test_terms_reach_the_scan(spark, capsys):
+    index = build(spark, [("1", "red blue", "a")], "id string, title string, genre string", SONGS)
+    index.search_one_term("red").explain("formatted")
+    shown = capsys.readouterr().out
+    assert "EqualTo(term,red)" in shown or "In(term, [red])" in shown
+
+
+def test_segments(spark):
+    from verbatlas.tables import Segments
+
+    table = Segments("t", ("v",), spark.createDataFrame([], "v int"))
+    for n in range(9):
+        table = table.appended(spark.createDataFrame([(n,)], "v int"))
+        sizes = [size for size, _ in table.parts]
+        assert all(a > 2 * b for a, b in zip(sizes, sizes[1:])) and table.rows == n + 1
+    assert sorted(r.v for r in table.table.collect()) == list(range(9))
+    assert table.appended(spark.createDataFrame([], "v int")).rows == 9
+
+
+def test_percentiles_of_ties_nulls_and_large_groups(spark):
+    from verbatlas.operators import stats
+
+    rows = [("a", float(v % 7)) for v in range(500)] + [("b", 1.0), ("c", None), (None, 2.0), (None, 4.0)]
+    found = stats.percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"half": 0.5, "most": 0.95})
+    ordered = sorted(v % 7 for v in range(500))
+    assert {r.g: (r.n, r.half, r.most) for r in found.collect()} == {"a": (500, ordered[249], ordered[474]), "b": (1, 1.0, 1.0), None: (2, 2.0, 4.0)}
+
+
+def test_commands(spark, tmp_path, capsys):
+    import json as j
+    import threading
+
+    from verbatlas import commands
+    from verbatlas.service import SearchService, serve
+
+    words, data = str(tmp_path / "words"), str(tmp_path / "data")
+    commands.main(["vocab", "--size", "50", "--out", words], spark)
+    commands.main(["datagen", "--count", "40", "--vocab", words, "--out", data], spark)
+    capsys.readouterr()
+    commands.main(["benchmark", "--data", data, "--vocab", words, "--queries", "2"], spark)
+    shown = j.loads(capsys.readouterr().out)
+    assert shown["documents"] == 40 and shown["modes"]["multi, filtered"]["n"] == 2
+    server = serve(SearchService(spark, str(tmp_path)), 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    commands.main(["loadtest", "--url", f"http://localhost:{server.server_address[1]}/search", "--vocab", words, "--requests", "6", "--workers", "2"], spark)
+    shown = j.loads(capsys.readouterr().out)
+    assert shown["requests"] == shown["errors"] == 6  # there is no such index
+    server.shutdown()
+    with pytest.raises(SystemExit):
+        commands.main(["unknown"], spark)
+
+
 def test_duplicate_hits_and_first_match(spark):
     index = build(spark, [("1", "phone phones", "a")], "id string, title string, genre string", SONGS)
     assert ids(index.search("phone")) == ["1", "1"]
@@ -152,7 +219,7 @@ def test_service(spark, tmp_path):
     assert s.handle("GET", "/search", {"index": "none", "q": "x"})[0] == 404 and s.handle("GET", "/search", {})[0] == 400
     up = json.dumps([{"id": 1, "name": "Alpha one", "tags": ["red", 5, "blue"], "year": 2020}, None, {"id": "2", "name": "Beta", "tags": "red", "year": "2020"}, {"name": "no id"}]).encode()
     status, answer = s.handle("POST", "/add-to-index", {"indexName": "i"}, b"", up)
-    assert status == 200 and answer["addedCount"] == 3 and answer["totalDocs"] == 2
+    assert status == 200 and answer["addedCount"] == 4 and answer["totalDocs"] == 2
     docs = s.handle("GET", "/search", {"index": "i", "q": "red", "filter": "year:2020"})[1]["response"]["Docs"]
     assert [d["ID"] for d in docs] == ["2", "1"]
     assert s.handle("GET", "/search", {"index": "i", "q": "the"})[1]["response"] is None
@@ -160,7 +227,7 @@ def test_service(spark, tmp_path):
     assert s.handle("POST", "/add-to-index", {"indexName": "i"}, b"", b"id,name\n3,Gamma\n")[1]["addedCount"] == 1
     assert s.handle("POST", "/add-to-index", {"indexName": "i"}, b"", b"id,name\n3\n")[0] == 400
     assert post("/document", {"document": {"id": "2", "name": "Delta"}}, indexName="i")[0] == 200 and post("/document", {"document": {}}, indexName="i")[0] == 400
-    assert s.handle("DELETE", "/document", {"indexName": "i", "id": "1"})[1]["deleted"] and s.handle("PUT", "/document")[0] == 405
+    assert s.handle("DELETE", "/document", {"indexName": "i", "id": "1"})[1]["deleted"] and s.handle("PUT", "/document") == (405, "method not allowed\n")
     assert post("/save-controller", {"indexName": "i"})[0] == 200 and post("/load-controller", {"indexName": "i"})[0] == 200
     assert post("/load-controller", {"indexName": "../x"})[0] == 400 and post("/load-controller", {"indexName": "no"})[0] == 500
     assert s.handle("GET", "/search", {"index": "i", "q": "delta"})[1]["response"]["Docs"][0]["ID"] == "2"

@@ -83,6 +83,8 @@ class SearchIndex:
 
         What is written grows with the batch: each table gets a part, and parts of like size are merged.
         """
+        if id_column not in docs.columns:
+            return self
         external = text.canonical(docs, id_column, self.config.go_float_format)
         if external is None:
             raise ValueError(f"{id_column} can't be an id")

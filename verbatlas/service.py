@@ -19,7 +19,7 @@ from verbatlas.functions.text import parse_filter
 from verbatlas.plans.search_index import SearchIndex
 from verbatlas.sources import documents, snapshot
 
-Answer = tuple[int, dict]
+Answer = tuple[int, dict | str]  # a string is plain text
 _NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
 
 
@@ -48,7 +48,9 @@ class SearchService:
         q, began = query or {}, time.perf_counter()
         route = {"/create-index": ("POST", self._create), "/search": ("GET", self._search), "/add-to-index": ("POST", self._add), "/save-controller": ("POST", self._save), "/load-controller": ("POST", self._load), "/health": ("GET", self._health)}.get(path)
         if path == "/document":
-            route = {"POST": ("POST", self._upsert), "DELETE": ("DELETE", self._delete)}.get(method, ("", None))
+            route = {"POST": ("POST", self._upsert), "DELETE": ("DELETE", self._delete)}.get(method)
+            if route is None:
+                return 405, "method not allowed\n"
         if route is None:
             return 404, {"err": "not found"}
         if route[0] != method:
@@ -214,9 +216,12 @@ def serve(service: SearchService, port: int = 8080) -> ThreadingHTTPServer:
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
             query = {k: v[0] for k, v in parse_qs(at.query, keep_blank_values=True).items()}
             status, payload = service.handle(self.command, at.path, query, body, _file_part(self.headers.get("Content-Type", ""), body))
-            data = json.dumps(payload).encode()
+            plain = isinstance(payload, str)
+            data = payload.encode() if plain else json.dumps(payload).encode()
             self.send_response(status)
-            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Type", "text/plain; charset=utf-8" if plain else "application/json")
+            if plain:
+                self.send_header("Allow", "POST, DELETE")
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)

@@ -29,13 +29,14 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_json_text(spark: SparkSession, text: str) -> list[dict]:
-    """The documents of an upload that is a JSON array; ValueError for anything else."""
+    """The elements of an upload that is a JSON array; ValueError for anything else. null is an empty document: it
+    counts as sent and has no id."""
     found = json.loads(text)
     if found is None:
         return []
     if not isinstance(found, list) or not all(d is None or isinstance(d, dict) for d in found):
         raise ValueError("not an array of objects")
-    return [d for d in found if d]
+    return [d or {} for d in found]
 
 
 def from_rows(spark: SparkSession, docs: list[dict]) -> DataFrame:

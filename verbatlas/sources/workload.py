@@ -26,16 +26,19 @@ def documents(spark: SparkSession, words: list[str], n: int, seed: int = 42) ->
 
 
 def misspelt(word: str, rng: random.Random) -> str:
-    """Two letters swapped, one deleted or one doubled."""
+    """Two letters swapped, one deleted or one doubled; words under three letters stay."""
+    if len(word) < 3:
+        return word
     i, kind = rng.randrange(len(word)), rng.randrange(3)
-    if kind == 0 and len(word) > 1:
+    if kind == 0:
         i = min(i, len(word) - 2)
         return word[:i] + word[i + 1] + word[i] + word[i + 2 :]
-    return word[:i] + word[i + 1 :] if kind == 1 and len(word) > 1 else word[:i] + word[i] + word[i:]
+    return word[:i] + word[i + 1 :] if kind == 1 else word[:i] + word[i] + word[i:]
 
 
 def prefix(word: str, rng: random.Random) -> str:
-    return word[: rng.randint(1, max(1, len(word) - 1))]
+    """Three letters at least, two fewer than the word at most; words up to four letters stay."""
+    return word[: rng.randint(3, len(word) - 2)] if len(word) > 4 else word
 
 
 def single_queries(words: list[str], n: int, seed: int = 42) -> list[str]:

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Of sorted tables: small row groups, so that a filter on the sort key skips nearly all of them.
 ROW_GROUP = 8 << 20
@@ -98,3 +99,15 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
         total += n
     bases = F.broadcast(spark.createDataFrame(base, "part bigint, base bigint"))
     return kept.withColumn("part", part).join(bases, "part").withColumn(name, F.col("base") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("part", "base", "_at")
+
+
+def running(df: DataFrame, order: list[str], amount: str, name: str) -> DataFrame:
+    """df with name, the sum of amount up to each row in an order, by ranges of it rather than in one task."""
+    kept = stored(df.orderBy(*order).withColumn("_part", F.spark_partition_id()), "running")
+    base, total = [], 0
+    for p, n in sorted((r._part, r.n) for r in kept.groupBy("_part").agg(F.sum(amount).alias("n")).collect()):  # a row for each partition
+        base.append((p, total))
+        total += n
+    bases = F.broadcast(df.sparkSession.createDataFrame(base, "_part int, _base bigint"))
+    within = F.sum(amount).over(W.partitionBy("_part").orderBy(*order))
+    return kept.withColumn(name, within).join(bases, "_part").withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base")
