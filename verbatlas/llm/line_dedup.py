@@ -54,14 +54,17 @@ def _keys(of: int) -> list[Column]:
     return [F.struct(m.alias("m"), F.lit(s).alias("segment"), _outside(F.col("line"), m, s, of).alias("key")) for m in (n, n - 1) for s in range(of)]
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2) of the distinct lines that an earlier line is one edit away from.
-
-    lines: place, row_hash, line_no, line, h1, h2 of every occurrence.
-    """
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """(h1, h2, first, times, halves), stored: first occurrence, number of occurrences, and the keys of what lies
+    outside each half. lines: place, row_hash, line_no, line, h1, h2 of every occurrence."""
     n = F.length("line")
     halves = [F.struct(m.alias("m"), F.lit(s).alias("segment"), _outside(F.col("line"), m, s, 2).alias("key")) for m in (n, n - 1) for s in range(2)]
-    distinct = common.stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("place", "line_no", "row_hash")).alias("first"), F.first(F.array(*halves)).alias("halves")), "lines")
+    own = lines.groupBy("h1", "h2").agg(F.min(F.struct("place", "line_no", "row_hash")).alias("first"), F.count("*").alias("times"), F.first(F.array(*halves)).alias("halves"))
+    return common.stored(own, "lines")
+
+
+def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(h1, h2) of the distinct lines that an earlier line is one edit away from; distinct: of distinct_lines()."""
     dealt = distinct.select("h1", "h2", "first", F.explode("halves").alias("k")).select("h1", "h2", "first", "k.*")
     shared = dealt.groupBy("m", "segment", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     half_met = dealt.join(shared, ["m", "segment", "key"]).select("h1", "h2", F.col("first.place").alias("place"), F.col("first.line_no").alias("line_no"), F.col("first.row_hash").alias("row_hash")).distinct()
@@ -99,9 +102,10 @@ def variants_type() -> str:
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(place, row_hash, drops): the numbers of the lines that go, of every row that loses some."""
     lines = _lines(docs, min_chars)
-    near = near_lines(lines).withColumn("near", F.lit(True))
-    many = lines.groupBy("h1", "h2").agg(F.min(F.struct("place", "line_no")).alias("first"), F.count("*").alias("n"))
-    gone = many.join(near, ["h1", "h2"], "left").where("near or n > 1").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    distinct = distinct_lines(lines)
+    near = near_lines(lines, distinct).withColumn("near", F.lit(True))
+    many = distinct.select("h1", "h2", "first", "times")
+    gone = many.join(near, ["h1", "h2"], "left").where("near or times > 1").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     hits = lines.select("place", "row_hash", "line_no", "h1", "h2").join(gone, ["h1", "h2"])
     drops = hits.where((F.col("first.place") < F.col("place")) | ((F.col("first.place") == F.col("place")) & (F.col("first.line_no") < F.col("line_no"))) | F.col("near")).groupBy("place", "row_hash").agg(F.collect_set("line_no").alias("drops"))
     return common.sent_if_small(common.stored(drops, "drops"), F.size("drops") + 3)  # then no text has to move
