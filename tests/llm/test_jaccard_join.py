@@ -138,3 +138,41 @@ def test_blocks_are_bounded_by_rows(spark):
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
     whole = found(docs)
     assert found(docs, block_rows=7) == whole and whole[0][2] == 59
+
+
+def run_joins(spark, since):
+    """The rows out of every join by run in the executions after that one."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    out = []
+    for e in (store.executionsList().apply(k) for k in range(store.executionsList().size())):
+        if e.executionId() <= since:
+            continue
+        values, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if re.search(r"Join \[run#\d+L\], \[run#\d+L\]", node.desc()):
+                rows = [node.metrics().apply(k) for k in range(node.metrics().size()) if node.metrics().apply(k).name() == "number of output rows"]
+                out += [int(values.get(m.accumulatorId()).get().replace(",", "")) for m in rows if values.get(m.accumulatorId()).isDefined()]
+    return out
+
+
+def test_near_copies_are_joined_with_their_runs_once(spark, monkeypatch):
+    """A node has one place in a tree: joins by run make a row for it at most, so they grow with a group, not its square."""
+    monkeypatch.setattr(j, "SURE", 10)  # whole signatures suffice
+    rng = random.Random(1)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    base = rng.choices(vocabulary, k=120)
+    made = []
+    for group in (100, 200):
+        rows = []
+        for k in range(group):
+            copy = list(base)
+            copy[rng.randrange(120)] = rng.choice(vocabulary)
+            rows.append((k, " ".join(copy)))
+        executions = spark._jsparkSession.sharedState().statusStore().executionsList()
+        since = max((executions.apply(k).executionId() for k in range(executions.size())), default=-1)
+        got, want = found(spark.createDataFrame(rows, "doc_id bigint, text string"), recall=0.9), brute(rows)
+        assert [(i, c, n) for i, c, _, n in got] == [(i, c, n) for i, c, _, n in want]
+        assert 0.999 * sum(r[2] for r in want) <= sum(r[2] for r in got) <= sum(r[2] for r in want)
+        made.append(sum(run_joins(spark, since)))
+        assert 0 < made[-1] <= j.TREES * group
+    assert made[1] < 3 * made[0]

@@ -240,17 +240,18 @@ def forest(signed_nodes: DataFrame, trees: int, depth: int, floor: int) -> DataF
 
 
 def runs_at(places: DataFrame, depth: int, deepest: int) -> DataFrame:
-    """(run, tree, n): runs of that depth with pairs that no longer prefix of that tree has brought together.
+    """(run, tree, n, total): runs of that depth with pairs that no longer prefix of that tree has brought together.
 
-    Runs of the same nodes in several trees are one, that of the first tree.
+    places: with n_shingles, whose sum over the n nodes of a run is total. Runs of the same nodes in several trees
+    are one, that of the first tree.
     """
     run = F.col(f"run_{depth}")
     deeper = F.col(f"run_{min(depth + 1, deepest)}")
-    found = places.groupBy(run.alias("run")).agg(F.first("tree").alias("tree"), F.count("*").alias("n"), F.min(deeper).alias("lo"), F.max(deeper).alias("hi"), *(F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"nodes{k}") for k in (0, 1)))
+    found = places.groupBy(run.alias("run")).agg(F.first("tree").alias("tree"), F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min(deeper).alias("lo"), F.max(deeper).alias("hi"), *(F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"nodes{k}") for k in (0, 1)))
     found = found.where("n > 1")
     if depth < deepest:
         found = found.where("lo <> hi")
-    return found.groupBy("n", "nodes0", "nodes1").agg(F.min(F.struct("tree", "run")).alias("r")).select("r.run", "r.tree", "n")
+    return found.groupBy("n", "nodes0", "nodes1").agg(F.min(F.struct("tree", "run", "total")).alias("r")).select("r.run", "r.tree", "n", "r.total")
 
 
 # --- verification ---
@@ -363,10 +364,14 @@ def _compare(trees: int, depth: int, deepest: int, least: float):
 
 
 def in_blocks(members: DataFrame, block: int = BLOCK, rows: int = ROWS) -> DataFrame:
-    """members (run, node, n_shingles and others) with blocks, how many its run is cut into, and block."""
-    totals = members.groupBy("run").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n"))
+    """members (run, node, n_shingles and others) with blocks, how many its run is cut into, and block.
+
+    total and n, the run's shingles and nodes, are counted and joined only where members don't come with them.
+    """
+    if not {"total", "n"} <= {*members.columns}:
+        members = members.join(members.groupBy("run").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n")), "run")
     blocks = F.greatest(F.ceil(F.col("total") / block), F.ceil(F.col("n") / rows)).cast("int")
-    cut = members.join(totals.select("run", blocks.alias("blocks")), "run")
+    cut = members.withColumn("blocks", blocks).drop("total", "n")
     return cut.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
 
 
@@ -395,12 +400,13 @@ def jaccard_links(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
     sets = texts.join(wanted, "doc_id").select("text", "node", "words").mapInArrow(_texts_shingles, "node bigint, n_shingles bigint, shingles binary")
     sets = sets.dropDuplicates(["node"]).join(nodes.select("node", "signature").join(wanted.select("node"), "node"), "node")
     sets = common.stored(sets, "sets")
+    places = common.stored(places.join(sets.select("node", "n_shingles"), "node"), "sized-places")  # nodes that meet none go
 
     links = None
     for d in range(depth, floor - 1, -1):
         runs = runs_at(places, d, depth)
-        members = places.select("node", F.col(f"run_{d}").alias("run")).join(runs.select("run", "tree"), "run")
-        placed = in_blocks(members.join(sets.select("node", "n_shingles"), "node"), block, block_rows)
+        members = places.select("node", F.col(f"run_{d}").alias("run")).join(runs, "run")  # a place is in one run, so no row more
+        placed = in_blocks(members, block, block_rows)
         units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("run", "tree", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block")
         units = common.stored(units, "units")
         units = F.broadcast(units) if units.count() <= NEAR else units
