@@ -252,3 +252,18 @@ def test_workload_is_seeded(spark):
     assert words == w.vocabulary(200) and len(set(words)) == 200
     assert w.documents(spark, words, 50).collect() == w.documents(spark, words, 50).collect()
     assert len(w.multi_queries(words, 9)) == len(w.single_queries(words, 9)) == 9 and all("year" in f for f in w.year_filters(3))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_rows_are_posted_without_a_shuffle(spark):
+    from verbatlas.operators import index
+
+    rows = spark.createDataFrame([(1, 1, "1", 1, "red Blue red"), (2, 2, "2", 1, None), (3, 3, "3", 1, "the ,")], "internal_id long, target long, external_id string, batch int, title string")
+    posted = index.postings(rows, SONGS, whole=True)
+    assert sorted(map(tuple, posted.collect())) == [("blue", 1, 33333, 1), ("red", 1, 66666, 1)] == sorted(map(tuple, index.postings(rows, SONGS).collect()))
+    deleted = index.deletion_table(spark.createDataFrame([("aabb", 1)], "term string, first_seen long"))
+    assert sorted(r.key for r in deleted.collect()) == ["aab", "aabb", "abb"]
+    assert "Exchange" not in _plan(posted) and "Exchange" not in _plan(deleted)
