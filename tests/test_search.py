@@ -267,3 +267,8 @@ def test_whole_rows_are_posted_without_a_shuffle(spark):
     deleted = index.deletion_table(spark.createDataFrame([("aabb", 1)], "term string, first_seen long"))
     assert sorted(r.key for r in deleted.collect()) == ["aab", "aabb", "abb"]
     assert "Exchange" not in _plan(posted) and "Exchange" not in _plan(deleted)
+
+
+def test_postings_stay_where_they_are_when_nothing_is_dead(spark):
+    index = build(spark, [("1", "red blue", "a")], "id string, title string, genre string", SONGS)
+    assert "Join" not in _plan(index._visible(None))
