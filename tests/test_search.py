@@ -272,3 +272,11 @@ def test_whole_rows_are_posted_without_a_shuffle(spark):
 def test_postings_stay_where_they_are_when_nothing_is_dead(spark):
     index = build(spark, [("1", "red blue", "a")], "id string, title string, genre string", SONGS)
     assert "Join" not in _plan(index._visible(None))
+
+
+def test_many_keys_are_not_broadcast(spark):
+    from verbatlas.tables import among
+
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    found = among(table, "k", spark.createDataFrame([("a",)], "x string").where("x <> ''").limit(1), False)
+    assert [r.v for r in found.collect()] == [1] and "SortMergeJoin" in _plan(found) and "Broadcast" not in _plan(found)
